@@ -1,0 +1,269 @@
+"""Nearest vectors of every vector: a forest of random-projection trees behind one priority queue, reranked exactly.
+
+The hyperplanes are fitted on a bounded sample (``SAMPLE`` vectors of a dataset); every vector is indexed.  Each split
+is the difference of two sample vectors, cut at the median, so leaves are even.  A vector belongs to one leaf of each
+tree and is searched for in the ``probes`` leaves that a best-first search over all trees, with one queue ordered by the
+smallest margin along the path, would pop first.  Leaves are the shuffle's groups: inside one, queries meet members as
+blocks of a distance matrix, and the best candidates are ranked again by exact distances in double.  Groups that
+outgrow the forest are split further inside their task.
+
+Copies of one position are searched once: the positions' smallest vids stand for all, so a position held by a third of
+all rows makes no large leaf, and its members share one result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from orrery.functions.grid import finite
+from orrery.plans.staging import stage
+
+SAMPLE = 32_768
+SLACK = 8  #: candidates above k that are ranked again in double
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A complete binary tree of hyperplanes, level by level; node i has the children 2i+1 and 2i+2."""
+
+    normals: np.ndarray
+    cuts: np.ndarray
+    depth: int
+
+
+def fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
+    """Fit ``depth`` levels on the rows of ``x`` (float32)."""
+    n = (1 << depth) - 1
+    normals, cuts = np.zeros((n, x.shape[1]), np.float32), np.zeros(n, np.float32)
+    parts: list[np.ndarray] = [np.arange(len(x))]
+    for i in range(n):
+        rows = parts[i]
+        a = x[rng.choice(rows, 2)] if len(rows) > 1 else None
+        v = a[0] - a[1] if a is not None else np.zeros(x.shape[1], np.float32)
+        if not np.linalg.norm(v) > 0:
+            v = rng.normal(size=x.shape[1]).astype(np.float32)
+        normals[i] = v / np.linalg.norm(v)
+        p = x[rows] @ normals[i]
+        cuts[i] = np.median(p) if len(rows) else 0
+        parts += [rows[p < cuts[i]], rows[p >= cuts[i]]]
+    return Tree(normals, cuts, depth)
+
+
+def priorities(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    """(rows, all leaves of all trees): the key with which the shared queue would hold each leaf; larger pops first.
+
+    The key is the smallest signed margin along the path, as in a best-first descent; a row's own leaves are >= 0.
+    """
+    out = []
+    for t in trees:
+        key = np.full((len(x), 1), np.inf, np.float32)
+        margin = x @ t.normals.T - t.cuts
+        for level in range(t.depth):
+            m = margin[:, (1 << level) - 1 : (1 << (level + 1)) - 1]
+            key = np.stack([np.minimum(key, -m), np.minimum(key, m)], 2).reshape(len(x), -1)
+        out.append(key)
+    return np.concatenate(out, 1)
+
+
+def _own_leaves(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    """(rows, trees): the leaf of each row, numbered over all trees."""
+    out, base = [], 0
+    for t in trees:
+        at = np.zeros(len(x), np.int64)
+        for _ in range(t.depth):
+            right = (x * t.normals[at]).sum(1) >= t.cuts[at]
+            at = 2 * at + 1 + right
+        out.append(base + at - ((1 << t.depth) - 1))
+        base += 1 << t.depth
+    return np.stack(out, 1)
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Rows of equal length of a list<float> or binary column, as float32."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    n = len(col)
+    flat = np.frombuffer(b"".join(col.to_pylist()), np.float32) if pa.types.is_binary(col.type) else col.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float32, copy=False).reshape(n, -1)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    width = x.shape[1] * 4
+    offsets = np.arange(0, (len(x) + 1) * width, width, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _prober(forest, probes: int):
+    """mapInArrow: (dataset_id, vid, pos, rep) -> (dataset_id, leaf, vid, pos, member, query)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column("dataset_id").to_numpy(zero_copy_only=False)
+            for d in np.unique(data):
+                sub = batch.filter(pa.array(data == d))
+                for lo in range(0, sub.num_rows, 1024):
+                    part = sub.slice(lo, 1024)
+                    x = _matrix(part.column("pos"))
+                    vid = part.column("vid").to_numpy(zero_copy_only=False)
+                    rep = part.column("rep").to_numpy(zero_copy_only=False)
+                    trees = forest.value[int(d)]
+                    own = _own_leaves(trees, x)
+                    key = priorities(trees, x)
+                    m = min(probes, key.shape[1])
+                    top = np.argpartition(-key, m - 1, axis=1)[:, :m]
+                    leaf = np.concatenate([own.ravel(), top[rep].ravel()])
+                    row = np.concatenate([np.repeat(np.arange(len(x)), own.shape[1]), np.repeat(np.flatnonzero(rep), m)])
+                    code = np.unique(leaf * len(x) + row)  # a leaf that is own and probed makes one record
+                    l, r = code // len(x), code % len(x)
+                    member = (own[r] == l[:, None]).any(1)
+                    query = (top[r] == l[:, None]).any(1) & rep[r]
+                    yield pa.record_batch(
+                        [pa.array(np.full(len(l), d, np.int32)), pa.array(l), pa.array(vid[r]), _binary(x[r]), pa.array(member), pa.array(query)],
+                        names=["dataset_id", "leaf", "vid", "pos", "member", "query"],
+                    )
+
+    return run
+
+
+def _rank(mem: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k members nearest to each query, by (distance, id); fewer columns if there are fewer members."""
+    take, keep = min(k + SLACK, len(mem)), min(k, len(mem))
+    centre = mem.mean(0)
+    a, b = (mem - centre).astype(np.float32), (q - centre).astype(np.float32)
+    aa, nbr, d2 = (a * a).sum(1), [], []
+    for lo in range(0, len(q), 512):
+        near = aa[None, :] - 2 * (b[lo : lo + 512] @ a.T)
+        c = np.argpartition(near, take - 1, axis=1)[:, :take]
+        exact = ((mem[c].astype(np.float64) - q[lo : lo + 512, None, :].astype(np.float64)) ** 2).sum(2)
+        order = np.lexsort((ids[c], exact), axis=1)[:, :keep]
+        nbr.append(np.take_along_axis(ids[c], order, 1))
+        d2.append(np.take_along_axis(exact, order, 1))
+    return np.concatenate(nbr), np.concatenate(d2)
+
+
+def _leaf_search(k: int, leaf_rows: int):
+    """applyInArrow on a leaf: every query's best members."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("pos"))
+        vid = t.column("vid").to_numpy()
+        todo = [(np.flatnonzero(t.column("member").to_numpy()), np.flatnonzero(t.column("query").to_numpy()))]
+        rng = np.random.default_rng(len(x))
+        q_out, n_out, d_out = [], [], []
+        while todo:
+            m, q = todo.pop()
+            if not len(m) or not len(q):
+                continue
+            if len(m) > 4 * leaf_rows:
+                v = x[rng.choice(m, 2)]
+                p, v = None, v[0] - v[1]
+                if np.linalg.norm(v) > 0:
+                    p = x @ (v / np.linalg.norm(v))
+                    cut = np.median(p[m])
+                if p is not None and (p[m] < cut).any():
+                    todo += [(m[p[m] < cut], q[p[q] < cut]), (m[p[m] >= cut], q[p[q] >= cut])]
+                    continue
+            nbr, d2 = _rank(x[m], vid[m], x[q], k)
+            q_out.append(vid[q])
+            n_out.append(nbr)
+            d_out.append(d2)
+        d = t.column("dataset_id")[0].as_py()
+        cols: list = [[], [], []]
+        for q, n, s in zip(q_out, n_out, d_out):
+            cols[0].append(q)
+            cols[1] += list(n)
+            cols[2] += list(s)
+        q = np.concatenate(cols[0]) if cols[0] else np.zeros(0, np.int64)
+        lists = lambda rows, kind: pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind)
+        )
+        return pa.table({"dataset_id": pa.array(np.full(len(q), d, np.int32)), "vid": pa.array(q, pa.int64()), "nbr": lists(cols[1], pa.int64()), "d2": lists(cols[2], pa.float64())})
+
+    return run
+
+
+def _merge(k: int):
+    """mapInArrow: candidate lists of a vector -> its k nearest, each vid once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, d = b.column("nbr"), b.column("d2")
+            row = np.repeat(np.arange(len(n)), n.value_lengths().to_numpy())
+            ids, dist = n.flatten().to_numpy(), d.flatten().to_numpy()
+            o = np.lexsort((dist, ids, row))
+            row, ids, dist = row[o], ids[o], dist[o]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+            row, ids, dist = row[first], ids[first], dist[first]
+            o = np.lexsort((ids, dist, row))
+            row, ids, dist = row[o], ids[o], dist[o]
+            rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+            row, ids, dist = row[rank < k], ids[rank < k], dist[rank < k]
+            offsets = pa.array(np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32))
+            yield pa.record_batch(
+                [b.column("dataset_id"), b.column("vid"), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(dist))],
+                names=["dataset_id", "vid", "nbr", "d2"],
+            )
+
+    return run
+
+
+def valid_vectors(vectors: DataFrame, root: DataFrame) -> DataFrame:
+    """Distinct (dataset_id, vid, pos) that take part: pos not null, ndim entries, all finite; vid not null."""
+    dims = root.select("dataset_id", F.col("ndim").alias("_nd"))
+    v = vectors.select("dataset_id", "vid", "pos").join(dims, "dataset_id")
+    ok = (F.size("pos") == F.col("_nd")) & F.forall("pos", finite) & F.col("vid").isNotNull() & (F.col("_nd") > 0)
+    return v.filter(F.col("pos").isNotNull() & ok).select(F.col("dataset_id").cast("int"), "vid", "pos").distinct()
+
+
+def knn(
+    vectors: DataFrame, root: DataFrame, k: int = 10, trees: int = 6, leaf_rows: int = 1024, probes: int = 16, sample: int = SAMPLE, seed: int = 7
+) -> DataFrame:
+    """(dataset_id, vid, rank, neighbour, d2): the k nearest other vids of every valid vector, ties by smaller vid.
+
+    Approximate where a dataset exceeds ``probes`` leaves (recall is measured in the README), exact below.  Repeated
+    rows count once; vectors of equal pos share one search; datasets with one vector, and empty tables, give no rows.
+    """
+    spark = vectors.sparkSession
+    v = stage(valid_vectors(vectors, root), "vectors")
+    cls = stage(v.groupBy("dataset_id", "pos").agg(F.min("vid").alias("vid"), F.count("*").alias("n")), "positions")
+    sizes = {r[0]: r[1] for r in cls.groupBy("dataset_id").count().collect()}  # one number a dataset
+    chosen = F.lit(False)
+    for d, n in sizes.items():
+        chosen = chosen | ((F.col("dataset_id") == d) & (F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n))))
+    forest = {}
+    picked = cls.filter(chosen).orderBy("dataset_id", "vid").select("dataset_id", "pos").toPandas() if sizes else None
+    for d, n in sizes.items():
+        x = np.stack(picked[picked["dataset_id"] == d]["pos"].to_list() or [np.zeros(1)]).astype(np.float32)
+        depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf_rows)))), int(np.log2(max(1, len(x) / 16)))))
+        rng = np.random.default_rng([seed, d])
+        forest[d] = [fit_tree(x, depth, rng) for _ in range(trees if depth else 1)]
+    held = spark.sparkContext.broadcast(forest)  # bounded: sample / 16 hyperplanes a tree and dataset
+
+    shared = v.join(cls.filter("n > 1").select("dataset_id", "pos", F.col("vid").alias("rep")), ["dataset_id", "pos"]).filter("vid <> rep")
+    w = Window.partitionBy("dataset_id", "rep").orderBy("vid")
+    few = shared.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)  # with rep, k + 1 copies stand for all
+    base = cls.select("dataset_id", "vid", "pos", F.lit(True).alias("rep")).unionByName(few.select("dataset_id", "vid", "pos", F.lit(False).alias("rep")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, sum(sizes.values()) // 20_000)
+    probe = base.repartition(tasks, "dataset_id", "vid").mapInArrow(
+        _prober(held, probes), "dataset_id int, leaf bigint, vid bigint, pos binary, member boolean, query boolean"
+    )
+    found = probe.repartition(tasks, "dataset_id", "leaf").groupBy("dataset_id", "leaf").applyInArrow(
+        _leaf_search(k + 1, leaf_rows), "dataset_id int, vid bigint, nbr array<bigint>, d2 array<double>"
+    )
+    lists = found.groupBy("dataset_id", "vid").agg(F.flatten(F.collect_list("nbr")).alias("nbr"), F.flatten(F.collect_list("d2")).alias("d2"))
+    near = stage(lists.mapInArrow(_merge(k + 1), "dataset_id int, vid bigint, nbr array<bigint>, d2 array<double>"), "nearest")
+    other = shared.join(near.withColumnRenamed("vid", "rep"), ["dataset_id", "rep"]).select("dataset_id", "vid", "nbr", "d2")
+    pairs = F.filter(F.arrays_zip("nbr", "d2"), lambda p: p["nbr"] != F.col("vid"))
+    out = near.unionByName(other).select("dataset_id", "vid", F.posexplode(F.slice(pairs, 1, k)).alias("rank", "p"))
+    return out.select("dataset_id", "vid", (F.col("rank") + 1).alias("rank"), F.col("p.nbr").alias("neighbour"), F.col("p.d2").alias("d2"))
+
+
+def neighbour_pairs(nearest: DataFrame) -> DataFrame:
+    """(vid_a, vid_b), vid_a < vid_b: one of the two is among the nearest of the other."""
+    return nearest.select(F.least("vid", "neighbour").alias("vid_a"), F.greatest("vid", "neighbour").alias("vid_b")).distinct()
