@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import packing, tokenize
+from orrery.llm import packing, reading, tokenize
 from orrery.plans.staging import stage
 from orrery.sources.tables import table
 
@@ -36,6 +36,10 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(_packed(spark, d), table(spark, d, "containers"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decode, p7_containers, p7_summary)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.bands(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_decode, p7_containers, p7_summary, p8_found)}
 
 SQL = {"p6_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
