@@ -73,11 +73,11 @@ QUERIES = {
 }
 
 _CELLS = """
-  SELECT v.*, CAST(floor(CAST(x AS DOUBLE) / chunk_shape[1]) AS BIGINT) AS cx,
-         CAST(floor(CAST(y AS DOUBLE) / chunk_shape[2]) AS BIGINT) AS cy,
-         CASE WHEN ndim > 2 THEN CAST(floor(CAST(z AS DOUBLE) / chunk_shape[3]) AS BIGINT) END AS cz,
-         concat_ws('.', CAST(floor(CAST(x AS DOUBLE) / chunk_shape[1]) AS BIGINT), CAST(floor(CAST(y AS DOUBLE) / chunk_shape[2]) AS BIGINT),
-                   CASE WHEN ndim > 2 THEN CAST(floor(CAST(z AS DOUBLE) / chunk_shape[3]) AS BIGINT) END) AS chunk_key, ndim
+  SELECT v.*, TRY_CAST(floor(CAST(x AS DOUBLE) / chunk_shape[1]) AS BIGINT) AS cx,
+         TRY_CAST(floor(CAST(y AS DOUBLE) / chunk_shape[2]) AS BIGINT) AS cy,
+         CASE WHEN ndim > 2 THEN TRY_CAST(floor(CAST(z AS DOUBLE) / chunk_shape[3]) AS BIGINT) END AS cz,
+         concat_ws('.', TRY_CAST(floor(CAST(x AS DOUBLE) / chunk_shape[1]) AS BIGINT), TRY_CAST(floor(CAST(y AS DOUBLE) / chunk_shape[2]) AS BIGINT),
+                   CASE WHEN ndim > 2 THEN TRY_CAST(floor(CAST(z AS DOUBLE) / chunk_shape[3]) AS BIGINT) END) AS chunk_key, ndim
   FROM vertices v JOIN root_metadata r USING (dataset_id)
   WHERE x IS NOT NULL AND y IS NOT NULL AND isfinite(x) AND isfinite(y) AND (ndim = 2 OR (z IS NOT NULL AND isfinite(z)))
 """

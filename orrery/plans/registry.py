@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import problems
+from orrery.plans import geometry, problems
 
-_MODULES = [problems]
+_MODULES = [problems, geometry]
 
 
 def queries() -> dict:
