@@ -154,11 +154,13 @@ class Forest:
 def build(links: DataFrame, paths: bool = False, rows: int = ROWS, merged: int = MERGED) -> Forest:
     """Solve links(node, parent).
 
-    A null or -1 parent makes a root; a parent without a row of its own is the top of its tree.  Rows with a null
+    A null or -1 parent makes a root; a parent without a row of its own becomes a node, the top of its tree.  Rows with a null
     node are left out; copies count once, and of several parents of a node the smallest is taken.  With ``paths`` the
     levels also carry the skipped paths.
     """
-    nodes = links.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.when(F.col("parent") != -1, F.col("parent"))).alias("ptr"))
+    rows_ = links.filter("node IS NOT NULL").select("node", F.when(F.col("parent") != -1, F.col("parent")).alias("ptr"))
+    tops = rows_.filter("ptr IS NOT NULL").select(F.col("ptr").alias("node"), F.lit(None).cast("bigint").alias("ptr"))
+    nodes = rows_.unionByName(tops).groupBy("node").agg(F.min("ptr").alias("ptr"))
     nothing = F.lit(None).cast("bigint")
     edges = nodes.select(
         F.col("node").cast("bigint").alias("node"), F.col("ptr").cast("bigint").alias("ptr"), F.lit(1).cast("bigint").alias("w"),
@@ -173,20 +175,20 @@ def build(links: DataFrame, paths: bool = False, rows: int = ROWS, merged: int =
         if parts <= 1 and not star:
             return Forest(levels, paths)
         ext = ["acc"] if paths else []
-        target = done.select(F.col("node").alias("exit"), F.col("top").alias("_top"), F.col("dist").alias("_dist"), *[F.col("acc").alias("_acc") for _ in ext])
+        target = done.select(F.col("node").alias("exit"), F.col("top").alias("_top"), F.col("dist").alias("_dist"), *[F.coalesce(c, F.array().cast("array<bigint>")).alias("pay") for c in ext])
         tops = done.filter("node = top AND exit IS NOT NULL AND cyc IS NULL").select("node", "exit", "exit_w")
         size = done.filter("cyc IS NULL").groupBy("top").agg(F.sum("weight").alias("weight")).withColumnRenamed("top", "node")
-        up = tops.join(target, "exit", "left").join(size, "node")
-        if paths:  # a parent without a row is part of the path; above level 0 it is there already
-            gone = F.array("exit") if len(levels) == 1 else F.array().cast("array<bigint>")
-            pay = [F.coalesce("_acc", gone).alias("pay")]
-        else:
-            pay = []
-        edges = stage(up.select(
-            "node", F.coalesce("_top", "exit").alias("ptr"), (F.col("exit_w") + F.coalesce("_dist", F.lit(0))).alias("w"),
-            F.when(F.col("_top").isNotNull(), F.col("exit")).alias("entry"), "weight", *pay,
+        edges = stage(tops.join(target, "exit").join(size, "node").select(
+            "node", F.col("_top").alias("ptr"), (F.col("exit_w") + F.col("_dist")).alias("w"), F.col("exit").alias("entry"), "weight", *(["pay"] if paths else []),
         ), "contracted")
         before, n = n, edges.count()
+        if not n:
+            return Forest(levels, paths)
+        ends = edges.select(F.col("ptr").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
+        edges = edges.unionByName(ends.select(
+            "node", nothing.alias("ptr"), F.lit(1).cast("bigint").alias("w"), nothing.alias("entry"), F.lit(0).cast("bigint").alias("weight"),
+            *([F.array().cast("array<bigint>").alias("pay")] if paths else []),
+        ))  # where chains end is a node too, so that no chain leaves a level unresolved
         star = n > merged and n > SHRINK * before
 
 
@@ -268,32 +270,22 @@ def nodes(forest: Forest, rings: DataFrame | None = None) -> DataFrame:
     above = None
     for i in range(len(forest.levels) - 1, -1, -1):
         s = forest.levels[i]
-        if above is None:
-            out = s.select("node", F.coalesce("exit", "top").alias("root"), (F.col("dist") + F.col("exit_w")).alias("depth"), "acc")
+        if above is not None:
+            s = s.join(above.select(F.col("node").alias("top"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("acc").alias("_acc")), "top", "left")
         else:
-            up = above.select(F.col("node").alias("top"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("acc").alias("_acc"))
-            out = s.join(up, "top", "left").select(
-                "node", F.coalesce("_root", "top").alias("root"), (F.col("dist") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                F.concat(F.coalesce("_acc", F.array().cast("array<bigint>")), "acc").alias("acc"),
-            )
-        if len(forest.levels) == 1:  # the only level: a parent without a row is not in the path yet
-            out = s.select("node", F.coalesce("exit", "top").alias("root"), (F.col("dist") + F.col("exit_w")).alias("depth"),
-                           F.when(F.col("exit").isNotNull(), F.concat(F.array("exit"), "acc")).otherwise(F.col("acc")).alias("acc"))
+            nothing = {"_root": F.lit(None).cast("bigint"), "_depth": F.lit(None).cast("bigint"), "_acc": F.lit(None).cast("array<bigint>")}
+            s = s.withColumns(nothing)
+        out = s.select(
+            "node", F.coalesce("_root", "top").alias("root"), (F.col("dist") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            F.concat(F.coalesce("_acc", F.array().cast("array<bigint>")), "acc").alias("acc"),
+        )
         above = out if i == 0 else stage(out, "resolved")
     on = (rings if rings is not None else cycles(forest)).withColumnRenamed("cycle_id", "_id")
     # a chain into a cycle ends at a label: the smallest node of the cycle in the contracted graph, itself on the cycle
     label = on.select(F.col("node").alias("root"), F.col("_id").alias("_in"))
     out = above.join(label, "root", "left").join(on, "node", "left").join(_subtrees(forest), "node", "left")
     bad = F.col("_in").isNotNull()
-    rows = out.select(
+    return out.select(
         F.col("node").alias("node_id"), F.coalesce("_in", "root").alias("root"), F.when(~bad, F.col("depth")).alias("depth"),
         F.when(~bad, F.col("subtree") - 1).alias("n_descendants"), F.when(~bad, F.col("acc")).alias("path"), F.col("_id").isNotNull().alias("on_cycle"),
     )
-    own = forest.levels[0].select("node")
-    tops = above.filter("depth > 0").groupBy("root").agg(F.count("*").alias("n")).join(label, "root", "left_anti")
-    tops = tops.join(own.withColumnRenamed("node", "root"), "root", "left_anti")
-    tops = tops.select(
-        F.col("root").alias("node_id"), "root", F.lit(0).cast("bigint").alias("depth"), F.col("n").alias("n_descendants"),
-        F.array("root").alias("path"), F.lit(False).alias("on_cycle"),
-    )
-    return rows.unionByName(tops)
