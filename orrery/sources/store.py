@@ -1,6 +1,6 @@
 """A geometry store: a folder of Parquet tables and one metadata file, on any file system that Hadoop knows.
 
-``<path>/meta.json`` holds the root metadata and its levels; ``<path>/<table>/v=<n>/`` the rows of a table, partitioned
+``<path>/meta.json`` holds the root metadata and its levels; ``<path>/<table>/v=<id>/`` the rows of a table, partitioned
 by level.  A table's current version is named in ``meta.json``, so a rewrite (new bounds, re-sharding, compaction)
 writes a new folder first and becomes visible by one small file; readers of the old version are not disturbed, and
 nothing overwrites what it reads.
@@ -9,6 +9,7 @@ nothing overwrites what it reads.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from typing import Any
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from orrery import schema
 from orrery.functions.grid import cell, in_box, in_box_cells, morton
 from orrery.operators import coarsen, polylines, select
-from orrery.schema import Level, Meta, StoreError
+from orrery.schema import Level, Meta, StoreError, ratio
 
 TABLES = {
     "vertices": schema.VERTICES, "links": schema.LINKS, "faces": schema.FACES, "objects": schema.OBJECTS, "groups": schema.GROUPS,
@@ -92,11 +93,11 @@ class GeometryStore:
     def _write(self, name: str, df: DataFrame, cluster: bool = True) -> str:
         if not self.writable:
             raise StoreError("opened for reading")
-        folder = f"v={sum(map(len, self.versions.values())) + sum(map(len, self._staged.values())) + 1}"
+        folder = f"v=w{uuid.uuid4().hex[:12]}"
         w = df
         if cluster and name == "vertices":
             w = df.repartition("level", "cx", "cy", "cz").sortWithinPartitions("level", "cx", "cy", "cz", "oid", "seq")
-        w = w.write.mode("overwrite").option("compression", "zstd")
+        w = w.write.mode("errorifexists").option("compression", "zstd")
         (w.partitionBy("level") if "level" in df.columns else w).parquet(f"{self.path}/{name}/{folder}")
         return folder
 
@@ -143,6 +144,7 @@ class GeometryStore:
         for c, t in (("oid", "bigint"), ("seq", "bigint"), ("z", "double")):
             if c not in have.columns:
                 have = have.withColumn(c, F.lit(None).cast(t))
+        have = have.withColumns({c: F.col(c).cast("bigint") for c in ("vid", "oid", "seq")} | {a: F.col(a).cast("double") for a in "xyz"})
         cells = {f"c{a}": cell(F.col(a), shape[i]) if i < len(shape) else F.lit(None).cast("bigint") for i, a in enumerate("xyz")}
         return have.withColumn("level", F.lit(level)).withColumns(cells)
 
