@@ -5,3 +5,10 @@ leaves the physical strategy to Catalyst.  See README.md for the layout of the p
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run on executors travel by value, so executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
