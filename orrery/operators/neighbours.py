@@ -1,7 +1,7 @@
 """Nearest vectors of every vector: a forest of random-projection trees behind one priority queue, reranked exactly.
 
 The hyperplanes are fitted on a bounded sample (``SAMPLE`` vectors of a dataset); every vector is indexed.  Each split
-is the difference of two sample vectors, cut at the median, so leaves are even.  A vector belongs to one leaf of each
+runs between the centres of two random groups of sample vectors and is cut at the median, so leaves are even.  A vector belongs to one leaf of each
 tree and is searched for in the ``probes`` leaves that a best-first search over all trees, with one queue ordered by the
 smallest margin along the path, would pop first.  Leaves are the shuffle's groups: inside one, queries meet members as
 blocks of a distance matrix, and the best candidates are ranked again by exact distances in double.  Groups that
@@ -37,6 +37,20 @@ class Tree:
     depth: int
 
 
+def _direction(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Direction of a split: between the centres of a short two-means run that starts at two random rows."""
+    v = np.zeros(x.shape[1])
+    if len(x) > 1:
+        c = x[rng.choice(len(x), 2, replace=False)].astype(np.float64)
+        for _ in range(6):
+            near = ((x - c[0]) ** 2).sum(1) < ((x - c[1]) ** 2).sum(1)
+            if near.all() or not near.any():
+                break
+            c = np.stack([x[near].mean(0), x[~near].mean(0)])
+        v = c[0] - c[1]
+    return (v if np.linalg.norm(v) > 0 else rng.normal(size=x.shape[1])).astype(np.float32)
+
+
 def fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
     """Fit ``depth`` levels on the rows of ``x`` (float32)."""
     n = (1 << depth) - 1
@@ -44,10 +58,7 @@ def fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
     parts: list[np.ndarray] = [np.arange(len(x))]
     for i in range(n):
         rows = parts[i]
-        a = x[rng.choice(rows, 2)] if len(rows) > 1 else None
-        v = a[0] - a[1] if a is not None else np.zeros(x.shape[1], np.float32)
-        if not np.linalg.norm(v) > 0:
-            v = rng.normal(size=x.shape[1]).astype(np.float32)
+        v = _direction(x[rng.choice(rows, min(len(rows), 256), replace=False)], rng)
         normals[i] = v / np.linalg.norm(v)
         p = x[rows] @ normals[i]
         cuts[i] = np.median(p) if len(rows) else 0
@@ -111,7 +122,7 @@ def _prober(forest, probes: int):
                     x = _matrix(part.column("pos"))
                     vid = part.column("vid").to_numpy(zero_copy_only=False)
                     rep = part.column("rep").to_numpy(zero_copy_only=False)
-                    trees = forest.value[int(d)]
+                    trees = [Tree(*t) for t in forest.value[int(d)]]
                     own = _own_leaves(trees, x)
                     key = priorities(trees, x)
                     m = min(probes, key.shape[1])
@@ -222,7 +233,7 @@ def valid_vectors(vectors: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def knn(
-    vectors: DataFrame, root: DataFrame, k: int = 10, trees: int = 6, leaf_rows: int = 1024, probes: int = 16, sample: int = SAMPLE, seed: int = 7
+    vectors: DataFrame, root: DataFrame, k: int = 10, trees: int = 6, leaf_rows: int = 4096, probes: int = 16, sample: int = SAMPLE, seed: int = 7
 ) -> DataFrame:
     """(dataset_id, vid, rank, neighbour, d2): the k nearest other vids of every valid vector, ties by smaller vid.
 
@@ -242,7 +253,8 @@ def knn(
         x = np.stack(picked[picked["dataset_id"] == d]["pos"].to_list() or [np.zeros(1)]).astype(np.float32)
         depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf_rows)))), int(np.log2(max(1, len(x) / 16)))))
         rng = np.random.default_rng([seed, d])
-        forest[d] = [fit_tree(x, depth, rng) for _ in range(trees if depth else 1)]
+        grown = [fit_tree(x, depth, rng) for _ in range(trees if depth else 1)]
+        forest[d] = [(t.normals, t.cuts, t.depth) for t in grown]
     held = spark.sparkContext.broadcast(forest)  # bounded: sample / 16 hyperplanes a tree and dataset
 
     shared = v.join(cls.filter("n > 1").select("dataset_id", "pos", F.col("vid").alias("rep")), ["dataset_id", "pos"]).filter("vid <> rep")
