@@ -46,16 +46,22 @@ def _splitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("doc_id"), words], names=["doc_id", "words"])
 
 
+def _pretokens(docs: DataFrame) -> list[DataFrame]:
+    """Disjoint parts of :func:`pretokens`, each partitioned like ``docs``."""
+    docs = docs.select("doc_id", "text").filter("text <> ''")
+    unknown = F.col("text").rlike(r"\p{Cn}")
+    jvm = docs.filter(~unknown).select("doc_id", F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"))
+    return [jvm, docs.filter(unknown).mapInArrow(_splitter, "doc_id bigint, words array<string>")]
+
+
 def pretokens(docs: DataFrame) -> DataFrame:
     """(doc_id, words array<string>) of docs(doc_id, text); the words of a text join to the text.
 
     A null or empty text has no words.  Texts with characters that the JVM's Unicode tables do not know are cut by a
     newer table in Python, all others in the JVM; both cut whole texts.
     """
-    docs = docs.select("doc_id", "text").filter("text <> ''")
-    unknown = F.col("text").rlike(r"\p{Cn}")
-    jvm = docs.filter(~unknown).select("doc_id", F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"))
-    return jvm.unionByName(docs.filter(unknown).mapInArrow(_splitter, "doc_id bigint, words array<string>"))
+    jvm, other = _pretokens(docs)
+    return jvm.unionByName(other)
 
 
 def dictionary(words: DataFrame, name: str, folder: str = TOKENIZERS) -> DataFrame:
@@ -93,12 +99,13 @@ def encode(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKEN
     """
     docs = _spread(documents)
     dic = _sized(stage(dictionary(pretokens(documents).select(F.explode("words").alias("word")), name, folder), "words"))
-    at = pretokens(docs).select("doc_id", F.posexplode("words").alias("pos", "word")).join(dic, "word")
-    parts = at.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
-    ids = parts.select("doc_id", F.flatten(F.col("p.ids")).alias("ids"))
     none = F.array().cast("array<int>")
-    empty = documents.filter("text IS NULL OR text = ''").select("doc_id", none.alias("ids"))
-    return ids.unionByName(empty)
+    out = documents.filter("text IS NULL OR text = ''").select("doc_id", none.alias("ids"))
+    for part in _pretokens(docs):  # apart, since a union would forget that each is partitioned by document
+        at = part.select("doc_id", F.posexplode("words").alias("pos", "word")).join(dic, "word")
+        parts = at.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
+        out = out.unionByName(parts.select("doc_id", F.flatten(F.col("p.ids")).alias("ids")))
+    return out
 
 
 def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
