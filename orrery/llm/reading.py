@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,15 +46,14 @@ GRADED = ["grade", "g1", "g2", "g3", "g4", "top1", "top2", "top3", "top4", "know
 
 def style(text: str, lang: str | None) -> tuple[list[float], list[str]]:
     """Style features of a text and its distinct lower-case words; all zero for a text without words."""
-    sentences = [[w.lower() for w in _WORDS.findall(s)] for s in _ENDS.split(text)]
-    commas = [s.count(",") + s.count(";") + s.count(":") for s in _ENDS.split(text)]
-    pairs = [(s, c) for s, c in zip(sentences, commas) if s]
+    parts = _ENDS.split(text.lower())
+    pairs = [(w, s.count(",") + s.count(";") + s.count(":")) for s in parts if (w := _WORDS.findall(s))]
     words = [w for s, _ in pairs for w in s]
     if not words:
         return [0.0] * len(STYLE), []
     conn = _CONN.get(lang or "", _EVERY)
     n, types = len(words), set(words)
-    lengths = np.array([len(w) for w in words])
+    lengths = np.array(list(map(len, words)))
     per = np.array([len(s) for s, _ in pairs])
     depth = np.array([c + sum(w in conn for w in s) for s, c in pairs])
     seen: dict[str, int] = {}
@@ -61,7 +61,7 @@ def style(text: str, lang: str | None) -> tuple[list[float], list[str]]:
     for i, w in enumerate(words):  # words not met among the 50 before
         fresh += i - seen.get(w, -51) > 50
         seen[w] = i
-    once = len([w for w in types if words.count(w) == 1]) if n < 400 else n / 2
+    once = sum(c == 1 for c in Counter(words).values())
     return [
         math.log(n), float(lengths.mean()), float((lengths >= 8).mean()), float((lengths >= 12).mean()), math.log(per.mean()), math.log(per.max()),
         float(depth.mean()), math.log1p(depth.max()), sum(w in conn for w in words) / n, fresh / n, math.log(len(types)) / math.log(n + 1), once / n,
@@ -71,8 +71,8 @@ def style(text: str, lang: str | None) -> tuple[list[float], list[str]]:
 def units(text: str) -> list[list[str]]:
     """The words of a text by sentence; longer sentences are cut into units of about UNIT words."""
     out = []
-    for s in _ENDS.split(text):
-        w = [x.lower() for x in _WORDS.findall(s)]
+    for s in _ENDS.split(text.lower()):
+        w = _WORDS.findall(s)
         if w:
             parts = max(1, round(len(w) / UNIT)) if len(w) > 2 * UNIT else 1
             size = -(-len(w) // parts)
@@ -80,24 +80,30 @@ def units(text: str) -> list[list[str]]:
     return out
 
 
-def graded(text: str, table: dict[str, tuple[float, ...]] | None) -> list[float]:
-    """Profile of a text in a graded vocabulary: mean band, mean and majority share of each band over its units."""
-    got, n, known = [], 0, 0
-    for u in units(text):
-        rows = [table[w] for w in u if w in table] if table else []
-        n += len(u)
-        known += len(rows)
-        if rows:
-            s = np.sum(rows, 0)
-            p = np.exp(s - s.max())
-            got.append(np.append(p / p.sum(), len(u)))
-    if not got:
+def graded(text: str, table: tuple[dict[str, int], np.ndarray] | None) -> list[float]:
+    """Profile of a text in a graded vocabulary: mean band, mean and majority share of each band over its units.
+
+    ``table`` holds the place of each word and, by place, the log-odds of the four bands.
+    """
+    places, odds = table or ({}, np.zeros((1, 4)))
+    get, at, owner, sizes = places.get, [], [], []
+    for k, u in enumerate(units(text)):
+        hit = [p for p in map(get, u) if p is not None]
+        at += hit
+        owner += [k] * len(hit)
+        sizes.append(len(u))
+    if not at:
         return [2.5, 0.25, 0.25, 0.25, 0.25, 0.25, 0.25, 0.25, 0.25, 0.0]
-    a = np.array(got)
-    w = a[:, 4:] / a[:, 4].sum()
-    soft = (a[:, :4] * w).sum(0)
-    hard = ((a[:, :4] == a[:, :4].max(1, keepdims=True)) * w).sum(0)
-    return [float(soft @ np.arange(1, 5)), *map(float, soft), *map(float, hard), known / max(n, 1)]
+    own = np.array(owner)
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    s = np.add.reduceat(odds[at], first, axis=0)
+    p = np.exp(s - s.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    w = np.array(sizes, float)[own[first]][:, None]
+    w /= w.sum()
+    soft = (p * w).sum(0)
+    hard = ((p == p.max(1, keepdims=True)) * w).sum(0)
+    return [float(soft @ np.arange(1, 5)), *map(float, soft), *map(float, hard), len(at) / sum(sizes)]
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +147,8 @@ def rarity(own: DataFrame, eligible: DataFrame) -> DataFrame:
     return at.groupBy("doc_id").agg(F.array(F.avg("r"), F.avg((F.col("r") > 4).cast("double")), F.coalesce(F.stddev_pop("r"), F.lit(0.0))).alias("rare"))
 
 
-def grade_tables(rows: pd.DataFrame) -> dict[int, dict[str, dict[str, tuple[float, ...]]]]:
-    """Per fold (-1: none) and language: word -> smoothed log-odds of the four bands, from the other folds' documents.
+def grade_tables(rows: pd.DataFrame) -> dict[int, dict[str, tuple[dict[str, int], np.ndarray]]]:
+    """Per fold (-1: none) and language: words and their smoothed log-odds of the four bands, from the other folds.
 
     ``rows`` has lang, word, fold, band, n: documents of a fold and band that hold the word, and '' for all documents.
     """
@@ -159,7 +165,7 @@ def grade_tables(rows: pd.DataFrame) -> dict[int, dict[str, dict[str, tuple[floa
             odds = np.log((p.to_numpy() + 0.3) / docs)
             odds -= odds.mean(1, keepdims=True)
             weight = np.minimum(1.0, p.to_numpy().sum(1, keepdims=True) / 4)
-            out[fold][lang] = {w: tuple(map(float, o)) for w, o in zip(p.index, odds * weight)}
+            out[fold][lang] = ({w: k for k, w in enumerate(p.index)}, odds * weight)
     return out
 
 
