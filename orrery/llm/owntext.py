@@ -14,7 +14,8 @@ _CODE = re.compile(r"```.*?(?:```|\Z)|\[code\].*?(?:\[/code\]|\Z)|<pre>.*?(?:</p
 _SIGN = re.compile(r"\[sig\].*?(?:\[/sig\]|\Z)|<small>[^<]*::[^<]*(?:</small>|\Z)|<span[^>]*sig[^>]*>.*?(?:</span>|\Z)", re.S | re.I)
 _RULE = re.compile(r"^(?:--\s*\S*|_{6,})\s*$")
 _SENT = re.compile(r"^Sent from my \S+\s*$", re.M)
-_GONE = re.compile(r"\[img\].*?\[/img\]|<img[^>]*>|https?://\S+", re.S | re.I)
+_IMAGE = re.compile(r"\[img\].*?\[/img\]|<img[^>]*>", re.S | re.I)
+_LINK = re.compile(r"https?://\S+", re.I)
 _BREAK = re.compile(r"<br\s*/?>|\[br\]|</?p>", re.I)
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|\[/?[a-zA-Z*]+(?:=[^\]]{0,120})?\]")
 
@@ -90,6 +91,6 @@ def own_text(text: str | None, parent: str | None = None) -> str:
         if _RULE.match(lines[k]):
             lines = lines[:k]
             break
-    out = _GONE.sub(" ", _BREAK.sub("\n", "\n".join(lines)))
-    out = html.unescape(html.unescape(_MARKUP.sub("", out)))
-    return _MARKUP.sub("", out).replace("**", "").replace("\xa0", " ")
+    out = _IMAGE.sub(" ", _BREAK.sub("\n", "\n".join(lines)))
+    out = _LINK.sub(" ", _MARKUP.sub("", out))
+    return _MARKUP.sub("", html.unescape(html.unescape(out))).replace("**", "").replace("\xa0", " ")
