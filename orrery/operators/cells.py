@@ -37,7 +37,7 @@ def cell_stats(vertices: DataFrame, root: DataFrame) -> DataFrame:
     row is copied to the shards of a heavy cell only.  ``z`` columns are null where the dataset has two axes.
     """
     src = vertices.select("dataset_id", "level", "x", "y", "z", *BY)
-    rows = level0_cells(src, root).withColumns({a: F.when(finite(F.col(a)) & F.col(f"c{a}").isNotNull(), F.col(a).cast("double")) for a in "xyz"})
+    rows = level0_cells(src, root).withColumns({a: F.when(finite(F.col(a)) & F.col(f"c{a}").isNotNull(), F.col(a).cast("double") + F.lit(0.0)) for a in "xyz"})
     rows = rows.select(*KEYS, "x", "y", "z", *BY)
     by = [F.col(c) for c in BY]
     plan = skew.estimate(rows, KEYS)

@@ -15,11 +15,13 @@ CELL = ["dataset_id", "level", "cx", "cy", "cz"]
 def live(vertices: DataFrame) -> DataFrame:
     """One row per vid that is not deleted.
 
-    Of the attributes of repeated deliveries the least value stands (nulls lose, NaN counts as largest), so the result
-    does not depend on the order of rows.
+    All deliveries of a vertex agree in dataset, level, position and fragment; these are keys of the aggregate, so
+    filters on them reach the scan.  Of the other attributes the least value stands (nulls lose, NaN counts as
+    largest), so the result does not depend on the order of rows.
     """
-    rest = ["dataset_id", "level", "oid", "seq", "x", "y", "z", "fragment", "intensity", "category"]
-    return vertices.filter("deleted_at IS NULL AND vid IS NOT NULL").groupBy("vid").agg(*[F.min(c).alias(c) for c in rest])
+    keys = ["vid", "dataset_id", "level", "x", "y", "z", "fragment"]
+    out = vertices.filter("deleted_at IS NULL AND vid IS NOT NULL").groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("oid", "seq", "intensity", "category")])
+    return out.select("vid", "dataset_id", "level", "oid", "seq", "x", "y", "z", "fragment", "intensity", "category")
 
 
 def placed(vertices: DataFrame, root: DataFrame) -> DataFrame:

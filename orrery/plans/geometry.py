@@ -29,7 +29,7 @@ _LIVE = """
   live AS (SELECT vid, min(dataset_id) AS dataset_id, min(level) AS level, min(oid) AS oid, min(seq) AS seq, min(x) AS x, min(y) AS y, min(z) AS z,
                   min(fragment) AS fragment, min(intensity) AS intensity, min(category) AS category
            FROM vertices WHERE deleted_at IS NULL AND vid IS NOT NULL GROUP BY vid),
-  placed AS (SELECT vid, dataset_id, level, oid, seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CASE WHEN ndim > 2 THEN CAST(z AS DOUBLE) END AS z, fragment,
+  placed AS (SELECT vid, dataset_id, level, oid, seq, CAST(x AS DOUBLE) + 0.0 AS x, CAST(y AS DOUBLE) + 0.0 AS y, CASE WHEN ndim > 2 THEN CAST(z AS DOUBLE) + 0.0 END AS z, fragment,
                     intensity, category, ndim, chunk_shape, bounds_min, bounds_max,
                     TRY_CAST(floor(CAST(x AS DOUBLE) / chunk_shape[1]) AS BIGINT) AS cx, TRY_CAST(floor(CAST(y AS DOUBLE) / chunk_shape[2]) AS BIGINT) AS cy,
                     CASE WHEN ndim > 2 THEN TRY_CAST(floor(CAST(z AS DOUBLE) / chunk_shape[3]) AS BIGINT) END AS cz, concat_ws('.', cx, cy, cz) AS chunk_key
@@ -452,11 +452,11 @@ def prune_skeleton(spark, d):
 
 # ---- coarsening
 
-_META = ", ".join(f"round(avg({a}), 4) AS mean_{a}" for a in "xyz")
+_META = ", ".join(f"round(avg({a}), 4) + 0.0 AS mean_{a}" for a in "xyz")
 
 
-@query(w(_LIVE, _BINS.format(f=0.5)) + f"""SELECT dataset_id, level, concat_ws('.', bi, bj, bk) AS bin_key, count(*) AS n, {_META}, min(vid) AS first_vid, round(avg(v), 4) AS v_mean, round(sum(v), 4) AS v_sum,
-    round(arg_min(v, vid), 4) AS v_first, round(min(v), 4) AS v_min, round(max(v), 4) AS v_max FROM (SELECT *, CAST(CASE WHEN NOT isnan(intensity) THEN intensity END AS DOUBLE) AS v FROM binned) GROUP BY ALL""".replace("arg_min(v, vid)", "arg_min_null(v, vid)"))
+@query(w(_LIVE, _BINS.format(f=0.5)) + f"""SELECT dataset_id, level, concat_ws('.', bi, bj, bk) AS bin_key, count(*) AS n, {_META}, min(vid) AS first_vid, round(avg(v), 4) + 0.0 AS v_mean, round(sum(v), 4) + 0.0 AS v_sum,
+    round(arg_min(v, vid), 4) + 0.0 AS v_first, round(min(v), 4) + 0.0 AS v_min, round(max(v), 4) + 0.0 AS v_max FROM (SELECT *, CAST(CASE WHEN NOT isnan(intensity) THEN intensity END AS DOUBLE) AS v FROM binned) GROUP BY ALL""".replace("arg_min(v, vid)", "arg_min_null(v, vid)"))
 def metanodes(spark, d):
     m = coarsen.metanodes(_binned(spark, d, 0.5))
     m = m.withColumns({c: F.round(c, 4) for c in m.columns if c.startswith(("mean_", "v_"))})

@@ -134,15 +134,15 @@ _REFS = """
 SQL = {
     "p1_found": f"""WITH c AS ({_CELLS}) SELECT dataset_id, chunk_key FROM c WHERE level = 0 GROUP BY 1, 2
         HAVING count(*) * 100 >= 3 * (SELECT count(*) FROM c WHERE level = 0)""",
-    "p1_cells": f"""WITH c AS (SELECT dataset_id, chunk_key, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y,
-            CASE WHEN ndim > 2 THEN CAST(z AS DOUBLE) END AS z FROM ({_CELLS}) WHERE level = 0),
+    "p1_cells": f"""WITH c AS (SELECT dataset_id, chunk_key, CAST(x AS DOUBLE) + 0.0 AS x, CAST(y AS DOUBLE) + 0.0 AS y,
+            CASE WHEN ndim > 2 THEN CAST(z AS DOUBLE) + 0.0 END AS z FROM ({_CELLS}) WHERE level = 0),
         s AS (SELECT dataset_id, chunk_key, count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z,
             CAST(sum(CAST(round(x * 1048576) AS HUGEINT)) AS DOUBLE) / (count(*) * 1048576.0) AS centre_x,
             CAST(sum(CAST(round(y * 1048576) AS HUGEINT)) AS DOUBLE) / (count(*) * 1048576.0) AS centre_y,
             CAST(sum(CAST(round(z * 1048576) AS HUGEINT)) AS DOUBLE) / (count(*) * 1048576.0) AS centre_z FROM c GROUP BY 1, 2),
         r AS (SELECT dataset_id, chunk_key, max(sqrt(power(x - centre_x, 2) + power(y - centre_y, 2) + coalesce(power(z - centre_z, 2), 0))) AS radius
             FROM c JOIN s USING (dataset_id, chunk_key) GROUP BY 1, 2)
-        SELECT s.* REPLACE (round(centre_x, 4) AS centre_x, round(centre_y, 4) AS centre_y, round(centre_z, 4) AS centre_z), round(radius, 4) AS radius
+        SELECT s.* REPLACE (round(centre_x, 4) + 0.0 AS centre_x, round(centre_y, 4) + 0.0 AS centre_y, round(centre_z, 4) + 0.0 AS centre_z), round(radius, 4) AS radius
         FROM s JOIN r USING (dataset_id, chunk_key)""",
     "p2_found": f"""WITH {_NEAREST} SELECT DISTINCT least(vid, neighbour) AS vid_a, greatest(vid, neighbour) AS vid_b FROM near""",
     "p2_neighbours": f"""WITH {_NEAREST} SELECT dataset_id, vid, CAST(rank AS INT) AS rank, neighbour, round(sqrt(d2), 6) AS distance FROM near""",
