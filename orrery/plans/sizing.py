@@ -12,5 +12,5 @@ def tasks_for(df: DataFrame, bytes_per_task: int = 2 << 20) -> int:
     """Tasks for ``df`` by the optimizer's estimate of its bytes, no fewer than three a core or the session's setting."""
     spark = df.sparkSession
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return least if size > UNKNOWN else min(MOST, max(least, -(-size // bytes_per_task)))
