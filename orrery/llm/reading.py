@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.owntext import own_text
+from orrery.plans.sizing import tasks_for
 from orrery.plans.staging import stage
 
 LANGS = ("en", "de", "fr", "es")
@@ -129,8 +130,7 @@ def own_words(documents: DataFrame) -> DataFrame:
     wanted = need.select("parent_id").distinct()
     need = need.join(parents.join(wanted, "parent_id", "left_semi"), "parent_id", "left").select("doc_id", "lang", "n_chars", "text", "parent_text")
     rest = docs.filter(~loose).select("doc_id", "lang", "n_chars", "text", F.lit(None).cast("string").alias("parent_text"))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * docs.sparkSession.sparkContext.defaultParallelism)
-    return need.unionByName(rest).repartition(n, "doc_id").mapInArrow(
+    return need.unionByName(rest).repartition(tasks_for(documents), "doc_id").mapInArrow(
         _own, "doc_id bigint, lang string, n_chars int, own string, style array<double>, types array<string>"
     )
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.plans.sizing import tasks_for
 from orrery.plans.staging import stage
 
 TOKENIZERS = "/opt/tokenizers"
@@ -86,9 +87,7 @@ def _sized(dic: DataFrame) -> DataFrame:
 
 def _spread(docs: DataFrame) -> DataFrame:
     """Partition texts by document into enough tasks; no later step moves the words of a text."""
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    return docs.select("doc_id", "text").repartition(n, "doc_id")
+    return docs.select("doc_id", "text").repartition(tasks_for(docs), "doc_id")
 
 
 def encode(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -116,6 +115,7 @@ def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZ
     spark = encoded.sparkSession
     rows = [(int(i), base64.b64decode(b).hex()) for b, i in map(bytes.split, rank_lines(name, folder).splitlines())]
     tokens = F.broadcast(spark.createDataFrame(rows, "id int, hex string"))  # one row a token of the vocabulary
+    encoded = encoded.select("doc_id", "ids").repartition(tasks_for(encoded, 1 << 20), "doc_id")
     at = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(tokens, "id", "left")
     piece = F.coalesce("hex", F.raise_error(F.lit("unknown token id")).cast("string"))
     parts = at.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("h")))).alias("p"))
