@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans import staging
+from orrery.plans.sizing import small
 
 TARGET_BYTES = 128 << 20
 BYTES_PER_ROW = 16
@@ -115,11 +116,13 @@ def rewrite(vertices: DataFrame, plan: DataFrame, path: str) -> DataFrame:
     Returns (dataset_id, level, group_no, planned, written) read back from the files; ``planned`` equals ``written``
     unless rows were lost or doubled.
     """
-    rows = vertices.filter("vid IS NOT NULL AND file_id IS NOT NULL")
-    other = [c for c in rows.columns if c != "vid"]
-    once = rows.groupBy("vid").agg(F.min_by(F.struct(*other), F.struct("file_id", "written_at")).alias("r")).select("vid", "r.*")
-    moved = once.drop("dataset_id", "level").join(plan.select("file_id", "dataset_id", "level", "group_no"), "file_id")
-    moved.repartition("dataset_id", "level", "group_no").write.partitionBy("dataset_id", "level", "group_no").parquet(path)
+    group = ["dataset_id", "level", "group_no"]
+    later = small(staging.stage(repeats(vertices).select("vid", "file_id"), "repeats"))
+    rows = vertices.filter("vid IS NOT NULL AND file_id IS NOT NULL").join(later, ["vid", "file_id"], "left_anti")
+    moved = rows.drop("dataset_id", "level").join(small(plan.select("file_id", *group)), "file_id").repartition(*group)
+    other = [c for c in moved.columns if c not in ("vid", *group)]  # copies inside a file merge where the group is written
+    once = moved.groupBy(*group, "vid").agg(F.min_by(F.struct(*other), F.struct("written_at")).alias("r")).select("vid", *group, "r.*")
+    once.write.partitionBy(*group).parquet(path)
     back = vertices.sparkSession.read.parquet(path).groupBy("dataset_id", "level", "group_no").agg(F.count("*").alias("written"))
     want = plan.groupBy("dataset_id", "level", "group_no").agg(F.sum("keep_rows").alias("planned"))
     back = back.select(F.col("dataset_id").cast("int"), F.col("level").cast("int"), F.col("group_no").cast("bigint"), "written")

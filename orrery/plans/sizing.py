@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MOST = 100_000
 UNKNOWN = 1 << 50  #: the optimizer's estimate where it knows nothing is larger than this
@@ -14,3 +15,8 @@ def tasks_for(df: DataFrame, bytes_per_task: int = 2 << 20) -> int:
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return least if size > UNKNOWN else min(MOST, max(least, -(-size // bytes_per_task)))
+
+
+def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """Mark a staged table of a few plain columns for broadcast if its counted rows allow; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
