@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import grid
@@ -734,6 +734,15 @@ def bin_estimate(spark, d):
 
 @query("""SELECT label, array_to_string(list_transform(c, lambda v: CAST(v AS BIGINT)), '.') AS bin_key, count(*) AS n FROM (SELECT label, list_transform(embedding[1:6], lambda v: floor(CAST(v AS DOUBLE) / 0.25)) AS c FROM embeddings) GROUP BY 1, 2""")
 def cells_high_d(spark, d):
-    e = table(spark, d, "embeddings")
-    key = F.concat_ws(".", F.transform(F.slice("embedding", 1, 6), lambda v: F.floor(v.cast("double") / 0.25).cast("string")))
+    """Over the first six axes only, as its SQL; ``cells_all_axes`` takes them all."""
+    return _vector_cells(table(spark, d, "embeddings"), F.slice("embedding", 1, 6))
+
+
+@query("""SELECT label, array_to_string(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) / 0.25) AS BIGINT)), '.') AS bin_key, count(*) AS n FROM embeddings GROUP BY 1, 2""")
+def cells_all_axes(spark, d):
+    return _vector_cells(table(spark, d, "embeddings"), F.col("embedding"))
+
+
+def _vector_cells(e: DataFrame, axes: Column) -> DataFrame:
+    key = F.concat_ws(".", F.transform(axes, lambda v: F.floor(v.cast("double") / 0.25).cast("string")))
     return e.groupBy("label", key.alias("bin_key")).agg(F.count("*").alias("n"))
