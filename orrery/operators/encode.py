@@ -12,6 +12,16 @@ def quantise(v: Column, lo: Column, hi: Column, bits: int) -> Column:
     return F.when(hi > lo, F.floor((v - lo) / (hi - lo) * F.lit(top) + F.lit(0.5))).otherwise(0).cast("bigint")
 
 
+def axis_ranges(points: DataFrame, root: DataFrame) -> DataFrame:
+    """(dataset_id, lo_x, hi_x, ..): the bounds of each dataset; where either is null, the range of its points."""
+    none = root.filter("bounds_min IS NULL OR bounds_max IS NULL").select("dataset_id")
+    seen = points.join(none, "dataset_id", "left_semi").groupBy("dataset_id")
+    seen = seen.agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    given = root.filter("bounds_min IS NOT NULL AND bounds_max IS NOT NULL")
+    side = lambda n, m, a, i: F.get(f"bounds_{m}", F.lit(i)).cast("double").alias(f"{n}_{a}")
+    return given.select("dataset_id", *[side(n, m, a, i) for i, a in enumerate("xyz") for n, m in (("lo", "min"), ("hi", "max"))]).unionByName(seen)
+
+
 def ragged(df: DataFrame, group: list[str], value: str, order: str) -> DataFrame:
     """Concatenated groups as (group, first, size): where each group's values start in the order of groups."""
     n = df.groupBy(*group).agg(F.count("*").alias("size"))

@@ -629,11 +629,24 @@ def rebin(spark, d):
 @query(w(_LIVE) + """SELECT vid, CAST(floor((x - bounds_min[1]) / (bounds_max[1] - bounds_min[1]) * 2047 + 0.5) AS BIGINT) AS qx, CAST(floor((y - bounds_min[2]) / (bounds_max[2] - bounds_min[2]) * 2047 + 0.5) AS BIGINT) AS qy
     FROM placed WHERE bounds_max IS NOT NULL""")
 def quantise(spark, d):
+    """x and y of the datasets that have bounds, as its SQL; ``quantise_axes`` takes all axes of all datasets."""
     r = table(spark, d, "root_metadata").filter("bounds_max IS NOT NULL").select("dataset_id", *[F.get(f"bounds_{m}", F.lit(i)).alias(f"{m}{i}") for m in ("min", "max") for i in range(2)])
     p = _placed(spark, d).join(r, "dataset_id")
     return p.select("vid", *[encode.quantise(F.col(a), F.col(f"min{i}"), F.col(f"max{i}"), 11).alias(f"q{a}") for i, a in enumerate("xy")])
 
 
+@query(w(_LIVE, """ranges AS (SELECT dataset_id, any_value(bounds_min IS NULL OR bounds_max IS NULL) AS own, any_value(bounds_min) AS b, any_value(bounds_max) AS t, """
+         + ", ".join(f"min({a}) AS min_{a}, max({a}) AS max_{a}" for a in "xyz") + " FROM placed GROUP BY 1)", "edges AS (SELECT dataset_id, "
+         + ", ".join(f"CASE WHEN own THEN min_{a} ELSE b[{i}] END AS l{a}, CASE WHEN own THEN max_{a} ELSE t[{i}] END AS h{a}" for i, a in enumerate("xyz", 1)) + " FROM ranges)")
+       + "SELECT vid, " + ", ".join(f"CASE WHEN {a} IS NOT NULL THEN CASE WHEN h{a} > l{a} THEN CAST(floor(({a} - l{a}) / (h{a} - l{a}) * 2047 + 0.5) AS BIGINT) ELSE 0 END END AS q{a}" for a in "xyz")
+       + " FROM placed JOIN edges USING (dataset_id)")
+def quantise_axes(spark, d):
+    p = _placed(spark, d)
+    p = p.join(encode.axis_ranges(p, table(spark, d, "root_metadata")), "dataset_id")
+    q = lambda a: F.when(F.col(a).isNotNull(), encode.quantise(F.col(a), F.col(f"lo_{a}"), F.col(f"hi_{a}"), 11))
+    return p.select("vid", *[q(a).alias(f"q{a}") for a in "xyz"])
+
+
 @query(w(_LIVE) + """SELECT dataset_id, level, chunk_key, fragment, min(i) AS first, count(*) AS size, max(i) - min(i) + 1 = count(*) AS is_range
     FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, level, chunk_key ORDER BY vid) - 1 AS i FROM placed) GROUP BY ALL""")
 def fragment_blocks(spark, d):

@@ -2,7 +2,8 @@
 
 import __spark_entry__ as entry
 from conftest import rows
-from pyspark.sql import functions as F  # noqa: F401
+
+from orrery.operators import encode
 
 
 def put(spark, d, name, data, schema):
@@ -13,3 +14,14 @@ def test_cells_all_axes(spark, tmp_path):
     a = [0.1] * 64
     put(spark, tmp_path, "embeddings", [(1, a), (1, a[:63] + [0.9]), (1, a)], "label int, embedding array<float>")
     assert sorted(r["n"] for r in entry.queries()["cells_all_axes"](spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_quantise_takes_all_axes_and_datasets(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, -1.0, 0.0, None), (2, 3.0, 4.0, None)], "dataset_id int, x double, y double, z double")
+    r = spark.createDataFrame([(1, [0.0] * 3, [10.0] * 3), (2, [0.0] * 2, None)], "dataset_id int, bounds_min array<double>, bounds_max array<double>")
+    assert rows(encode.axis_ranges(p, r)) == [(1, 0.0, 10.0, 0.0, 10.0, 0.0, 10.0), (2, -1.0, 3.0, 0.0, 4.0, None, None)]
+    d = "/root/testdata/sf0.001"
+    q = entry.queries()["quantise_axes"](spark, d)
+    placed = entry.queries()["local_index"](spark, d)
+    assert q.count() == placed.count()
+    assert q.join(placed, "vid").filter("(qz IS NULL) != (dataset_id = 3)").count() == 0
