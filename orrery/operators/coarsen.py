@@ -64,18 +64,29 @@ def object_level(lines: DataFrame, bins: Sequence[str] = tuple(BIN)) -> DataFram
     return kept.select(*OBJECT, (F.row_number().over(w) - 1).cast("bigint").alias("place"), *bins)
 
 
+def implicit_level(points: DataFrame, bins: Sequence[str] = tuple(BIN)) -> DataFrame:
+    """Manifest of a coarse level over one implicit object: its bins by chunk, each once; the window runs over bins."""
+    w = Window.orderBy("_c", *bins)
+    kept = points.groupBy(*bins).agg(F.min(F.struct("cx", "cy", "cz")).alias("_c"))
+    return kept.select(F.lit(0).cast("bigint").alias("oid"), (F.row_number().over(w) - 1).cast("bigint").alias("place"), *bins)
+
+
 def present_mask(objects: DataFrame, kept: DataFrame) -> DataFrame:
     """Every object of the level below with ``present``: whether it survives at the coarse level."""
     k = kept.select("dataset_id", "oid").distinct().withColumn("_k", F.lit(True))
     return objects.join(k, ["dataset_id", "oid"], "left").withColumn("present", F.coalesce("_k", F.lit(False))).drop("_k")
 
 
-def cross_level(fine: DataFrame, survivors: DataFrame | None = None) -> DataFrame:
+def cross_level(fine: DataFrame, survivors: DataFrame | None = None, implicit: bool = True) -> DataFrame:
     """Edges from every fine vertex to its bin's meta vertex (named by its least surviving vid), with ``aligned``.
 
-    A bin without survivors has no meta vertex; vertices of dropped objects link where a survivor shares the bin.
+    A bin without survivors has no meta vertex; vertices of dropped objects link where a survivor shares the bin.  The
+    vertices of a dataset without any object are one implicit object, which survives (not if ``implicit`` is false).
     """
     keep = fine if survivors is None else fine.join(survivors, ["dataset_id", "oid"], "left_semi")
+    if survivors is not None and implicit:
+        own = fine.filter("oid IS NOT NULL").select("dataset_id").distinct()
+        keep = keep.unionByName(fine.join(own, "dataset_id", "left_anti"))
     meta = keep.groupBy("dataset_id", *BIN).agg(F.min("vid").alias("dst_vid"), F.min_by("cell", "vid").alias("dst_cell"))
     e = match(fine, meta, ["dataset_id", *BIN])
     return e.select("dataset_id", F.col("vid").alias("src_vid"), "dst_vid", (F.col("cell") == F.col("dst_cell")).alias("aligned"))

@@ -511,6 +511,17 @@ _UP = """up1 AS (SELECT b.dataset_id, b.vid AS src_vid, m.vid AS dst_vid, b.chun
 
 @query(w(_LIVE, _BINS.format(f=0.5), _STEPS, _SURVIVE, _UP.format(join="SEMI JOIN survive USING (dataset_id, oid)")) + "SELECT * FROM up1")
 def cross_level_plus1(spark, d):
+    """Without the datasets that have no object, as its SQL; ``cross_level_implicit`` has them."""
+    fine = _binned(spark, d, 0.5).filter("level = 0").withColumn("cell", points.key())
+    return coarsen.cross_level(fine, _survivors(spark, d), implicit=False)
+
+
+_KEEP = """JOIN (SELECT vid AS kept FROM placed WHERE level = 0 AND ((dataset_id, oid) IN (SELECT (dataset_id, oid) FROM survive)
+    OR dataset_id NOT IN (SELECT dataset_id FROM placed WHERE level = 0 AND oid IS NOT NULL))) ON kept = vid"""
+
+
+@query(w(_LIVE, _BINS.format(f=0.5), _STEPS, _SURVIVE, _UP.format(join=_KEEP)) + "SELECT * FROM up1")
+def cross_level_implicit(spark, d):
     fine = _binned(spark, d, 0.5).filter("level = 0").withColumn("cell", points.key())
     return coarsen.cross_level(fine, _survivors(spark, d))
 

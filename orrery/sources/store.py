@@ -289,15 +289,18 @@ class GeometryStore:
         """Levels 1..n: one meta vertex per bin of BASE bin x factor over the surviving objects.
 
         Each level is written before the next one reads it.  ``storage`` other than none adds links with delta +1 (and,
-        if explicit, their mirrors); objects survive longest first.  The objects table holds the present mask.
+        if explicit, their mirrors); objects survive longest first.  The objects table holds the present mask.  A level
+        whose vertices have no object is one implicit object 0, which survives.
         """
         for k, factor in enumerate(factors, 1):
             sparsity = (sparsities or [1.0] * len(factors))[k - 1]
             self.add_level(k, [factor] * len(self.meta.axes), sparsity, method="per_object")
             fine = self.table("vertices").filter(F.col("level") == k - 1)
-            lines = polylines.ordered(fine.withColumn("dataset_id", F.lit(0)))
+            alone = fine.filter("oid IS NOT NULL").isEmpty()
+            lines = fine.withColumn("dataset_id", F.lit(0))
+            lines = lines.withColumn("oid", F.lit(0).cast("bigint")) if alone else polylines.ordered(lines)
             kept = lines.select("dataset_id", "oid").distinct()
-            if sparsity < 1:
+            if sparsity < 1 and not alone:
                 long = polylines.lengths(lines)
                 want = long.groupBy("dataset_id").agg(select.target(F.count("*"), sparsity).alias("k")).first()
                 kept = select.top(long, "length", want["k"] if want else 0, ["dataset_id"]).select("dataset_id", "oid")
@@ -305,7 +308,7 @@ class GeometryStore:
             bins = {b: cell(F.col(a), size[i]) if i < len(size) else F.lit(None).cast("bigint") for i, (b, a) in enumerate(zip(coarsen.BIN, "xyz"))}
             used = lines.join(kept, ["dataset_id", "oid"], "left_semi").withColumns(bins)
             meta = used.groupBy(*coarsen.BIN).agg(F.min("vid").alias("vid"), *[F.avg(a).alias(a) for a in "xyz"])
-            places = coarsen.object_level(used).drop("level", "dataset_id")
+            places = coarsen.implicit_level(used) if alone else coarsen.object_level(used).drop("level", "dataset_id")
             rows = coarsen.match(places, meta, coarsen.BIN).select("vid", "x", "y", "z", "oid", F.col("place").alias("seq"))
             self.stage("vertices", self.with_grid(rows, k))
             mask = coarsen.present_mask(lines.select("dataset_id", "oid").distinct(), kept)

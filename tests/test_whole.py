@@ -2,8 +2,10 @@
 
 import __spark_entry__ as entry
 from conftest import rows
+from pyspark.sql import functions as F
 
-from orrery.operators import encode
+from orrery.operators import coarsen, encode
+from orrery.sources.store import GeometryStore
 
 
 def put(spark, d, name, data, schema):
@@ -25,3 +27,21 @@ def test_quantise_takes_all_axes_and_datasets(spark):
     placed = entry.queries()["local_index"](spark, d)
     assert q.count() == placed.count()
     assert q.join(placed, "vid").filter("(qz IS NULL) != (dataset_id = 3)").count() == 0
+
+
+def test_a_dataset_without_objects_is_one_implicit_object(spark):
+    f = spark.createDataFrame([(1, 1, None, 0, "a"), (1, 2, None, 0, "b"), (2, 3, 7, 0, "a"), (2, 4, None, 0, "a"), (2, 5, 8, 1, "a")], "dataset_id int, vid bigint, oid bigint, bi bigint, cell string")
+    f = f.withColumns({b: F.lit(0).cast("bigint") for b in ("bj", "bk")})
+    s = spark.createDataFrame([(2, 7)], "dataset_id int, oid bigint")
+    assert rows(coarsen.cross_level(f, s)) == [(1, 1, 1, True), (1, 2, 1, False), (2, 3, 3, True), (2, 4, 3, True)]
+
+
+def test_pyramid_of_a_point_cloud(spark, tmp_path):
+    s = GeometryStore.create(spark, f"file://{tmp_path}/s", [10.0] * 3, ([0.0] * 3, [100.0] * 3), bin_shape=[5.0] * 3, geometry_types=["point_cloud"])
+    s.write_points(spark.range(40).select(F.col("id").alias("vid"), (F.col("id") / 2).alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("z")))
+    s.commit()
+    s.build_pyramid([1, 2], [0.5, 0.5], storage="explicit")
+    assert rows(s.table("vertices").filter("level = 1").select("vid", "oid", "seq", "x")) == [(0, 0, 0, 2.25), (10, 0, 1, 7.25), (20, 0, 2, 12.25), (30, 0, 3, 17.25)]
+    assert rows(s.table("vertices").filter("level = 2").select("oid", "seq", "x")) == [(0, 0, 4.75), (0, 1, 14.75)]
+    assert rows(s.table("objects").select("level", "oid", "present")) == [(1, 0, True), (2, 0, True)]
+    assert s.table("links").filter("level = 0 AND delta = 1").count() == 40
