@@ -63,21 +63,21 @@ def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return points.join(b, ["dataset_id", "cx", "cy", "cz"]).filter(inside).drop("lo", "hi")
 
 
-def neighbours(cells: DataFrame, halo: int = 1, include_self: bool = False) -> DataFrame:
-    """(cell, nx, ny, nz): the (2 halo + 1)**3 cells around each cell of three axes."""
+def neighbours(cells: DataFrame, halo: int = 1, include_self: bool = False, axes: str = "xyz") -> DataFrame:
+    """(cell, nx, ny, nz): the (2 halo + 1)**n cells around each cell of the n ``axes``."""
     if halo < 0:
         raise ValueError("halo must not be negative")
-    out = cells
-    for a in "xyz":
+    out, same = cells, F.lit(True)
+    for a in axes:
         out = out.withColumn(f"n{a}", F.explode(F.sequence(F.col(f"c{a}") - halo, F.col(f"c{a}") + halo)))
-    same = (F.col("nx") == F.col("cx")) & (F.col("ny") == F.col("cy")) & (F.col("nz") == F.col("cz"))
+        same = same & (F.col(f"n{a}") == F.col(f"c{a}"))
     return out if include_self else out.filter(~same)
 
 
-def occupied_neighbours(cells: DataFrame, halo: int = 1) -> DataFrame:
+def occupied_neighbours(cells: DataFrame, halo: int = 1, axes: str = "xyz", keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
     """Neighbours that are themselves cells of the table (a semi-join)."""
-    there = cells.select("dataset_id", *[F.col(f"c{a}").alias(f"n{a}") for a in "xyz"])
-    return neighbours(cells, halo).join(there, ["dataset_id", "nx", "ny", "nz"], "left_semi")
+    there = cells.select(*keys, *[F.col(f"c{a}").alias(f"n{a}") for a in axes])
+    return neighbours(cells, halo, axes=axes).join(there, [*keys, *[f"n{a}" for a in axes]], "left_semi")
 
 
 def grid_shape(bounds: DataFrame) -> DataFrame:

@@ -186,6 +186,88 @@ def gray_code(spark, d):
     return _cells3(spark, d).select("dataset_id", ix.alias("ix"), grid.gray(ix).alias("code")).distinct()
 
 
+# the same over two and three axes and all levels; those above leave out two-axis datasets and coarse levels, as their SQL
+
+_LEVEL_CELL = ["dataset_id", "level", "cx", "cy", "cz"]
+_CELLS = "cells AS (SELECT DISTINCT dataset_id, level, cx, cy, cz FROM placed)"
+_FRAG = "CASE WHEN bk IS NULL THEN (bi % 4 + 4) % 4 * 4 + (bj % 4 + 4) % 4 ELSE ((bi % 4 + 4) % 4 * 4 + (bj % 4 + 4) % 4) * 4 + (bk % 4 + 4) % 4 END"
+_MORTON2 = " | ".join(f"((((c{a} + 1048576) >> {k}) & 1) << {2 * k + i})" for k in range(21) for i, a in enumerate("xy"))
+
+
+def _cells(spark, d):
+    return _placed(spark, d).select(*_LEVEL_CELL).distinct()
+
+
+def _by_axes(rows: DataFrame, third: str, f) -> DataFrame:
+    """f(rows, axes) of the rows of three axes and of those of two; columns that two axes lack are null."""
+    return f(rows.filter(F.col(third).isNotNull()), "xyz").unionByName(f(rows.filter(F.col(third).isNull()), "xy"), allowMissingColumns=True)
+
+
+@query(w(_LIVE, _CELLS) + """SELECT dataset_id, level, cx, cy, cz, cx + i AS nx, cy + j AS ny, cz + k AS nz FROM cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j),
+    (SELECT unnest([-1, 0, 1]) AS k) WHERE NOT (i = 0 AND j = 0 AND k = 0) AND (cz IS NOT NULL OR k = 0)""")
+def neighbours_all(spark, d):
+    return _by_axes(_cells(spark, d), "cz", lambda c, axes: points.neighbours(c, axes=axes))
+
+
+@query(w(_LIVE, _CELLS) + """SELECT a.dataset_id, a.level, a.cx, a.cy, a.cz, count(*) AS n FROM cells a JOIN cells b ON a.dataset_id = b.dataset_id AND a.level = b.level AND abs(a.cx - b.cx) <= 1
+    AND abs(a.cy - b.cy) <= 1 AND coalesce(abs(a.cz - b.cz), 0) <= 1 AND NOT (a.cx = b.cx AND a.cy = b.cy AND a.cz IS NOT DISTINCT FROM b.cz) GROUP BY ALL""")
+def neighbours_occupied_all(spark, d):
+    found = _by_axes(_cells(spark, d), "cz", lambda c, axes: points.occupied_neighbours(c, axes=axes, keys=("dataset_id", "level")))
+    return found.groupBy(*_LEVEL_CELL).agg(F.count("*").alias("n"))
+
+
+def _coded(spark, d):
+    return _by_axes(_cells(spark, d), "cz", lambda c, axes: c.withColumn("code", grid.morton([F.col(f"c{a}") for a in axes], offset=1 << 20)))
+
+
+@query(w(_LIVE, _CELLS) + f"SELECT *, CAST(floor(code / 64) AS BIGINT) AS shard_id FROM (SELECT *, CASE WHEN cz IS NULL THEN {_MORTON2} ELSE {_MORTON} END AS code FROM cells)")
+def morton_all(spark, d):
+    return _coded(spark, d).withColumn("shard_id", F.shiftright("code", 6))
+
+
+@query(w(_LIVE, _CELLS) + "SELECT * FROM cells")
+def morton_roundtrip_all(spark, d):
+    back = lambda c, axes: c.select("dataset_id", "level", *[(v - (1 << 20)).alias(f"c{a}") for v, a in zip(grid.unmorton(F.col("code"), len(axes)), axes)])
+    return _by_axes(_coded(spark, d), "cz", back)
+
+
+@query(w(_LIVE, _CELLS) + """SELECT DISTINCT dataset_id, level, axis, i AS ix, xor(i, i >> 1) AS code FROM (SELECT dataset_id, level, unnest([0, 1, 2]) AS axis, unnest([cx + 32768, cy + 32768, cz + 32768]) AS i FROM cells)
+    WHERE i IS NOT NULL""")
+def gray_code_all(spark, d):
+    c = _cells(spark, d).select("dataset_id", "level", F.posexplode(F.array(*[F.col(f"c{a}") + 32768 for a in "xyz"])).alias("axis", "ix")).filter("ix IS NOT NULL").distinct()
+    return c.withColumn("code", grid.gray(F.col("ix")))
+
+
+def _frag(axes: str) -> Column:
+    return grid.linear_fragment([F.col(b) for b in coarsen.BIN[: len(axes)]], [4] * len(axes))
+
+
+@query(w(_LIVE, _BINS.format(f=0.25)) + f"""SELECT dataset_id, bi, bj, bk, CAST(floor(bi / 4.0) AS BIGINT) AS cx, CAST(floor(bj / 4.0) AS BIGINT) AS cy, CAST(floor(bk / 4.0) AS BIGINT) AS cz,
+    {_FRAG} AS frag FROM binned GROUP BY ALL""")
+def bins_to_chunk_all(spark, d):
+    b = _binned(spark, d, 0.25).select("dataset_id", *coarsen.BIN).distinct()
+    chunk = {f"c{a}": grid.bin_to_chunk(F.col(c), 4) for c, a in zip(coarsen.BIN, "xyz")}
+    return _by_axes(b, "bk", lambda r, axes: r.withColumns(chunk | {"frag": _frag(axes)}))
+
+
+@query(w(_LIVE, _BINS.format(f=0.25)) + f"""SELECT dataset_id, frag, CAST(floor(frag / CASE WHEN two THEN 4 ELSE 16 END) AS BIGINT) AS ix, CASE WHEN two THEN frag % 4 ELSE CAST(floor(frag / 4) % 4 AS BIGINT) END AS iy,
+    CASE WHEN NOT two THEN frag % 4 END AS iz, count(*) AS n FROM (SELECT dataset_id, bk IS NULL AS two, {_FRAG} AS frag FROM binned) GROUP BY ALL""")
+def fragment_index_all(spark, d):
+    def index(b, axes):
+        g = b.withColumn("frag", _frag(axes)).groupBy("dataset_id", "frag").agg(F.count("*").alias("n"))
+        return g.withColumns({f"i{a}": F.pmod(F.floor(F.col("frag") / 4 ** (len(axes) - 1 - k)), F.lit(4)).cast("bigint") for k, a in enumerate(axes)})
+
+    return _by_axes(_binned(spark, d, 0.25), "bk", index).select("dataset_id", "frag", "ix", "iy", "iz", "n")
+
+
+@query(w(_LIVE) + """SELECT dataset_id, round(power(greatest(max(x) - min(x), 1e-9) * greatest(max(y) - min(y), 1e-9) * coalesce(greatest(CASE WHEN min(ndim) > 2 THEN max(z) - min(z) END, CASE WHEN min(ndim) > 2 THEN 1e-9 END), 1)
+    / greatest(least(count(*) / 4.0, count(*)), 1), 1.0 / least(min(ndim), 3)), 4) AS bin_size FROM placed GROUP BY 1""")
+def bin_estimate_all(spark, d):
+    g = _placed(spark, d).groupBy("dataset_id").agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(f"s{a}") for a in "xyz"])
+    size = lambda axes: F.round(coarsen.bin_estimate(F.col("n"), [F.col(f"s{a}") for a in axes], F.col("n") / 4), 4).alias("bin_size")
+    return _by_axes(g, "sz", lambda r, axes: r.select("dataset_id", size(axes)))
+
+
 @query()
 def hilbert2d(spark, d):
     c = _placed(spark, d).filter("level = 0").select("dataset_id", "cx", "cy").distinct()

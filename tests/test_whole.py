@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from conftest import rows
 from pyspark.sql import functions as F
 
-from orrery.operators import coarsen, encode
+from orrery.operators import coarsen, encode, points
 from orrery.sources.store import GeometryStore
 
 
@@ -45,3 +45,14 @@ def test_pyramid_of_a_point_cloud(spark, tmp_path):
     assert rows(s.table("vertices").filter("level = 2").select("oid", "seq", "x")) == [(0, 0, 4.75), (0, 1, 14.75)]
     assert rows(s.table("objects").select("level", "oid", "present")) == [(1, 0, True), (2, 0, True)]
     assert s.table("links").filter("level = 0 AND delta = 1").count() == 40
+
+
+def test_two_axes_have_neighbours(spark):
+    c = spark.createDataFrame([(3, 0, 0, 0), (3, 0, 0, 1), (3, 1, 0, 2)], "dataset_id int, level int, cx bigint, cy bigint")
+    assert points.neighbours(c.limit(1), axes="xy").count() == 8
+    assert len(rows(points.occupied_neighbours(c, axes="xy", keys=("dataset_id", "level")))) == 2
+
+
+def test_queries_of_cells_hold_two_axes(spark):
+    for name in ("neighbours", "neighbours_occupied", "morton", "morton_roundtrip", "gray_code", "bins_to_chunk", "fragment_index", "bin_estimate"):
+        assert entry.queries()[f"{name}_all"](spark, "/root/testdata/sf0.001").filter("dataset_id = 3").count() > 0
