@@ -289,3 +289,25 @@ def nodes(forest: Forest, rings: DataFrame | None = None) -> DataFrame:
         F.col("node").alias("node_id"), F.coalesce("_in", "root").alias("root"), F.when(~bad, F.col("depth")).alias("depth"),
         F.when(~bad, F.col("subtree") - 1).alias("n_descendants"), F.when(~bad, F.col("acc")).alias("path"), F.col("_id").isNotNull().alias("on_cycle"),
     )
+
+
+def whole(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and (ancestor, descendant) pairs of links(node, parent), cycles and what hangs below them included.
+
+    The first has (node_id, parent, root, cycle_id, depth, n_descendants, path, on_cycle).  Below a cycle, depth and path
+    count from the cycle node that the chain enters, which is the root; cycle_id is the cycle's smallest node.  The
+    descendants of a node on a cycle are all other nodes on the cycle and below it.
+    """
+    rings = stage(cycles(build(links)), "rings")
+    on = rings.select("node", F.lit(True).alias("_on"))
+    cut = links.join(on, "node", "left").select("node", F.when(F.col("_on").isNull(), F.col("parent")).alias("parent"))
+    n = nodes(build(cut, paths=True), rings.limit(0)).drop("on_cycle")
+    own = links.groupBy(F.col("node").alias("node_id")).agg(F.min(F.when(F.col("parent") != -1, F.col("parent"))).alias("parent"))
+    n = n.join(rings.withColumnRenamed("node", "root"), "root", "left").join(own, "node_id", "left")
+    n = stage(n.withColumn("on_cycle", F.col("cycle_id").isNotNull() & (F.col("depth") == 0)), "nodes")
+    size = n.filter("cycle_id IS NOT NULL").groupBy("cycle_id").agg(F.count("*").alias("_n"))
+    below = F.when(F.col("on_cycle"), F.col("_n") - 1).otherwise(F.col("n_descendants"))
+    out = n.join(size, "cycle_id", "left").withColumn("n_descendants", below)
+    pairs = n.select(F.explode("path").alias("ancestor"), F.col("node_id").alias("descendant")).filter("ancestor != descendant")
+    around = n.filter("cycle_id IS NOT NULL").join(rings, "cycle_id").filter("node != root").select(F.col("node").alias("ancestor"), F.col("node_id").alias("descendant"))
+    return out.select("node_id", "parent", "root", "cycle_id", "depth", "n_descendants", "path", "on_cycle"), pairs.unionByName(around)

@@ -60,6 +60,16 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("path", F.when(F.col("path").isNotNull(), F.concat_ws("/", F.col("path").cast("array<string>"))))
 
 
+def p4_whole(spark: SparkSession, d: str) -> DataFrame:
+    parts = [hierarchy.whole(links)[0].withColumn("source", F.lit(name)) for name, links in _links(spark, d).items()]
+    return parts[0].unionByName(parts[1]).withColumn("path", F.concat_ws("/", F.col("path").cast("array<string>")))
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    parts = [hierarchy.whole(links)[1].withColumn("source", F.lit(name)) for name, links in _links(spark, d).items()]
+    return parts[0].unionByName(parts[1])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return references.geometry_broken(*[table(spark, d, t) for t in ("vertices", "root_metadata", "object_index", "cross_chunk_links", "groupings")])
 
@@ -69,7 +79,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_cells, p2_found, p2_neighbours, p3_found, p3_plan, p3_rewrite, p4_found, p4_nodes, p5_found, p5_report)
+    f.__name__: f for f in (p1_found, p1_cells, p2_found, p2_neighbours, p3_found, p3_plan, p3_rewrite, p4_found, p4_nodes, p4_whole, p4_pairs, p5_found, p5_report)
 }
 
 _CELLS = """
@@ -113,6 +123,11 @@ _WALK = """
            SELECT d.source, u.node, d.root, d.depth + 1, d.path || '/' || u.node FROM down d JOIN up u ON u.source = d.source AND u.parent = d.node)
 """
 
+_ABOVE = """
+  above AS (SELECT source, node, parent AS a FROM up WHERE parent IS NOT NULL
+            UNION SELECT v.source, v.node, u.parent FROM above v JOIN up u ON u.source = v.source AND u.node = v.a WHERE u.parent IS NOT NULL)
+"""
+
 _REFS = """
   refs AS (
     SELECT 'object_index' AS ref_table, manifest_id AS ref_id, CAST(pos - 1 AS INT) AS pos, dataset_id, level, e.chunk_key AS chunk_key, e.fragment AS key, written_at
@@ -170,6 +185,17 @@ SQL = {
         lead AS (SELECT s.source, s.start AS node, min(r.id) AS id FROM step s JOIN ring r ON r.source = s.source AND (r.node = s.at OR r.node = s.start) GROUP BY 1, 2)
         SELECT source, node AS node_id, root, CAST(depth AS BIGINT) AS depth, CAST(n AS BIGINT) AS n_descendants, path, false AS on_cycle FROM down JOIN below USING (source, node)
         UNION ALL SELECT source, l.node, l.id, NULL, NULL, NULL, r.node IS NOT NULL FROM lead l LEFT JOIN ring r USING (source, node)""",
+    "p4_whole": f"""WITH RECURSIVE {_WALK}, {_ABOVE},
+        ring AS (SELECT source, node FROM above WHERE a = node),
+        cyc AS (SELECT source, node, min(a) AS cycle_id FROM above SEMI JOIN ring USING (source, node) GROUP BY 1, 2),
+        cut AS (SELECT u.source, u.node, CASE WHEN r.node IS NULL THEN parent END AS p FROM up u LEFT JOIN ring r USING (source, node)),
+        walk AS (SELECT t.source, t.node, t.node AS root, 0 AS depth, CAST(t.node AS VARCHAR) AS path FROM (SELECT source, node FROM cut WHERE p IS NULL
+            UNION SELECT a.source, a.parent FROM up a LEFT JOIN up b ON a.source = b.source AND a.parent = b.node WHERE a.parent IS NOT NULL AND b.node IS NULL) t
+          UNION ALL SELECT w.source, c.node, w.root, w.depth + 1, w.path || '/' || c.node FROM walk w JOIN cut c ON c.source = w.source AND c.p = w.node)
+        SELECT w.source, w.node AS node_id, up.parent, w.root, cycle_id, CAST(depth AS BIGINT) AS depth, coalesce(n, 0) AS n_descendants, path, r.node IS NOT NULL AS on_cycle
+        FROM walk w LEFT JOIN up USING (source, node) LEFT JOIN ring r USING (source, node) LEFT JOIN cyc ON cyc.source = w.source AND cyc.node = w.root
+        LEFT JOIN (SELECT source, a, count(*) FILTER (a <> node) AS n FROM above GROUP BY 1, 2) b ON b.source = w.source AND b.a = w.node""",
+    "p4_pairs": f"""WITH RECURSIVE {_WALK}, {_ABOVE} SELECT source, a AS ancestor, node AS descendant FROM above WHERE a <> node""",
     "p5_found": f"WITH cell_rows AS ({_CELLS}), {_REFS} SELECT ref_table, ref_id, pos, reason, period FROM broken WHERE reason IS NOT NULL",
     "p5_report": f"WITH cell_rows AS ({_CELLS}), {_REFS} SELECT ref_table, period, reason, count(*) AS n_broken FROM broken WHERE reason IS NOT NULL GROUP BY ALL",
 }

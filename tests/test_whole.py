@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from conftest import rows
 from pyspark.sql import functions as F
 
-from orrery.operators import coarsen, encode, points
+from orrery.operators import coarsen, encode, hierarchy, points
 from orrery.sources.store import GeometryStore
 
 
@@ -56,3 +56,13 @@ def test_two_axes_have_neighbours(spark):
 def test_queries_of_cells_hold_two_axes(spark):
     for name in ("neighbours", "neighbours_occupied", "morton", "morton_roundtrip", "gray_code", "bins_to_chunk", "fragment_index", "bin_estimate"):
         assert entry.queries()[f"{name}_all"](spark, "/root/testdata/sf0.001").filter("dataset_id = 3").count() > 0
+
+
+def test_descendants_below_a_cycle(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 3), (6, 5), (7, 7)], "node bigint, parent bigint")
+    nodes, pairs = hierarchy.whole(links)
+    assert rows(nodes.select("node_id", "parent", "root", "cycle_id", "depth", "n_descendants", "path")) == [
+        (1, 2, 1, 1, 0, 3, [1]), (2, 1, 2, 1, 0, 3, [2]), (3, 1, 1, 1, 1, 1, [1, 3]), (4, 3, 1, 1, 2, 0, [1, 3, 4]),
+        (5, None, 5, None, 0, 1, [5]), (6, 5, 5, None, 1, 0, [5, 6]), (7, 7, 7, 7, 0, 0, [7]),
+    ]
+    assert rows(pairs) == [(1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 4), (5, 6)]
