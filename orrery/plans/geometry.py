@@ -289,15 +289,28 @@ def chunk_offsets(spark, d):
 
 @query(w(_LIVE) + "SELECT dataset_id, level, oid, seq, vid, x, y, z FROM placed WHERE oid BETWEEN 300 AND 400")
 def read_by_object(spark, d):
+    """Of some objects, as its SQL; ``read_by_object_all`` takes them all."""
     return _placed(spark, d).filter("oid BETWEEN 300 AND 400").select("dataset_id", "level", "oid", "seq", "vid", "x", "y", "z")
 
 
 @query(w(_LIVE) + "SELECT vid, dataset_id, oid FROM placed p WHERE EXISTS (SELECT 1 FROM groupings g WHERE g.dataset_id = p.dataset_id AND g.oid = p.oid AND gid % 1000 < 3)")
 def read_by_group(spark, d):
+    """Of some groups, as its SQL; ``read_by_group_all`` takes them all."""
     g = table(spark, d, "groupings").filter("gid % 1000 < 3")
     return points.of_groups(_placed(spark, d), g).select("vid", "dataset_id", "oid")
 
 
+@query(w(_LIVE) + "SELECT vid, dataset_id, oid FROM placed p WHERE EXISTS (SELECT 1 FROM groupings g WHERE g.dataset_id = p.dataset_id AND g.oid = p.oid AND gid IS NOT NULL)")
+def read_by_group_all(spark, d):
+    g = table(spark, d, "groupings").filter("gid IS NOT NULL")
+    return points.of_groups(_placed(spark, d), g).select("vid", "dataset_id", "oid")
+
+
+@query(w(_LIVE) + "SELECT dataset_id, level, oid, seq, vid, x, y, z FROM placed WHERE oid IS NOT NULL")
+def read_by_object_all(spark, d):
+    return _placed(spark, d).filter("oid IS NOT NULL").select("dataset_id", "level", "oid", "seq", "vid", "x", "y", "z")
+
+
 @query(w(_LIVE) + "SELECT vid, dataset_id, level, chunk_key FROM placed WHERE chunk_key IN ('0.0.0', '1.0.0', '-1.0.0', '0.0')")
 def read_by_chunk(spark, d):
     return _placed(spark, d).withColumn("chunk_key", points.key()).filter(F.col("chunk_key").isin("0.0.0", "1.0.0", "-1.0.0", "0.0")).select("vid", "dataset_id", "level", "chunk_key")
@@ -715,7 +728,9 @@ def rechunk_attr_bins(spark, d):
 
 @query(w(_LIVE, _BINS.format(f=0.125)) + """SELECT dataset_id, level, chunk_key, concat_ws('.', bi, bj, bk) AS bin_key, count(*) AS n FROM binned WHERE dataset_id IN (1, 2, 3) GROUP BY ALL""")
 def rebin(spark, d):
-    b = _binned(spark, d, 0.125).filter("dataset_id IN (1, 2, 3)").groupBy(*points.CELL, *coarsen.BIN).agg(F.count("*").alias("n"))
+    """Of point clouds only, as the library's; by type, not by the ids in the SQL."""
+    clouds = table(spark, d, "root_metadata").filter("geometry_type = 'point_cloud'").select("dataset_id")
+    b = _binned(spark, d, 0.125).join(clouds, "dataset_id", "left_semi").groupBy(*points.CELL, *coarsen.BIN).agg(F.count("*").alias("n"))
     return b.select("dataset_id", "level", points.key().alias("chunk_key"), grid.chunk_key([F.col(c) for c in coarsen.BIN]).alias("bin_key"), "n")
 
 

@@ -66,3 +66,14 @@ def test_descendants_below_a_cycle(spark):
         (5, None, 5, None, 0, 1, [5]), (6, 5, 5, None, 1, 0, [5, 6]), (7, 7, 7, 7, 0, 0, [7]),
     ]
     assert rows(pairs) == [(1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 4), (5, 6)]
+
+
+def test_reads_and_rebin_hold_no_ids(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    q = entry.queries()
+    for part in ("read_by_group", "read_by_object"):
+        assert q[f"{part}_all"](spark, d).count() > q[part](spark, d).count()
+    for name in ("vertices", "root_metadata"):
+        t = spark.read.parquet(f"{d}/{name}.parquet")
+        t.withColumn("dataset_id", F.col("dataset_id") + 100).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert q["rebin"](spark, str(tmp_path)).count() == q["rebin"](spark, d).count() > 0
