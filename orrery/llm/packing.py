@@ -17,7 +17,7 @@ from orrery.plans.staging import stage
 
 ROWS = 1 << 15  #: items that one task packs
 FULL = 0.99  #: containers filled to this part are emitted at once
-PAYS = 0.98  #: rounds go on while underfull containers fall below this part of their number
+PAYS = 0.98  #: rounds go on, for each container_name, while its underfull containers fall below this part of their number
 
 _BIN = "container_name string, capacity int, size bigint, docs array<bigint>, pieces array<int>, sizes array<bigint>"
 
@@ -84,20 +84,24 @@ def pack(items: DataFrame, containers: DataFrame, rows: int = ROWS, full: float
         "container_name", F.col("capacity").cast("int").alias("capacity"), rest.alias("size"), F.array("doc_id").alias("docs"),
         F.array(whole).alias("pieces"), F.array(rest).alias("sizes"),
     )
-    count, closed, turn = every.count(), [], 0
-    while count:
+    counts = lambda df: {r[0]: r[1] for r in df.groupBy("container_name").count().collect()}  # noqa: E731, a row a container_name
+    before, closed, turn = counts(every), [], 0
+    while count := sum(before.values()):
         parts = -(-count // rows)
         part = F.pmod(F.xxhash64(F.element_at("docs", 1), F.element_at("pieces", 1), F.lit(turn)), F.lit(parts))
         made = open_.withColumn("part", part).groupBy("container_name", "capacity", "part").applyInPandas(_pack, _BIN)
         made = stage(made, "bins")
         nearly = F.col("size") >= F.lit(full) * F.col("capacity")
-        before = count
-        count = made.filter(~nearly).count()
-        if parts == 1 or count > PAYS * before:
+        if parts == 1:
             closed.append(made)
             break
-        closed.append(made.filter(nearly))
-        open_, turn = made.filter(~nearly), turn + 1
+        left = counts(made.filter(~nearly))
+        ends = F.lit(False)
+        for name in [k for k, v in left.items() if v > PAYS * before[k]]:
+            ends = ends | F.col("container_name").eqNullSafe(F.lit(name))
+        before = {k: v for k, v in left.items() if v <= PAYS * before[k]}
+        closed.append(made.filter(nearly | ends))
+        open_, turn = made.filter(~nearly & ~ends), turn + 1
     out = cut
     for k, made in enumerate(closed):
         name = F.concat_ws("-", F.lit(f"r{k}"), F.element_at("docs", 1), F.element_at("pieces", 1))

@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 from conftest import rows
 from pyspark.sql import functions as F
 
+from orrery.llm import packing
 from orrery.operators import coarsen, encode, hierarchy, points
 from orrery.sources.store import GeometryStore
 
@@ -77,3 +78,11 @@ def test_reads_and_rebin_hold_no_ids(spark, tmp_path):
         t = spark.read.parquet(f"{d}/{name}.parquet")
         t.withColumn("dataset_id", F.col("dataset_id") + 100).write.parquet(f"{tmp_path}/{name}.parquet")
     assert q["rebin"](spark, str(tmp_path)).count() == q["rebin"](spark, d).count() > 0
+
+
+def test_each_capacity_ends_its_own_rounds(spark):
+    items = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(51).alias("n"))
+    containers = spark.createDataFrame([("short", 100), ("long", 10000)], "container_name string, capacity int")
+    out = packing.pack(items, containers, rows=64).groupBy("container_name").agg(F.count_distinct("container_id").alias("n"), F.count("*").alias("m"))
+    got = {r[0]: (r[1], r[2]) for r in out.collect()}
+    assert got["short"] == (2000, 2000) and got["long"][1] == 2000 and got["long"][0] < 20, got
