@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST = 100_000
+BROADCAST_BYTES = 64 << 20  #: a table above this is never broadcast
 UNKNOWN = 1 << 50  #: the optimizer's estimate where it knows nothing is larger than this
 
 
@@ -17,6 +18,20 @@ def tasks_for(df: DataFrame, bytes_per_task: int = 2 << 20) -> int:
     return least if size > UNKNOWN else min(MOST, max(least, -(-size // bytes_per_task)))
 
 
-def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
-    """Mark a staged table of a few plain columns for broadcast if its counted rows allow; else it is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of a staged table in memory, measured by one pass: strings and lists by their lengths, other columns by width."""
+    fixed, parts = 16, []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        fixed += 8
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(f.name).cast("bigint"), F.lit(0)))
+        elif kind in ("array", "map"):
+            parts.append(F.greatest(F.coalesce(F.size(f.name), F.lit(0)), F.lit(0)) * 16)
+    total = sum(parts, F.lit(0).cast("bigint")) + F.lit(fixed)
+    return df.agg(F.sum(total)).first()[0] or 0
+
+
+def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a staged table for broadcast if its measured bytes allow; a larger one is shuffled."""
+    return F.broadcast(df) if measured_bytes(df) <= most_bytes else df
