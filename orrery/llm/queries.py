@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import packing, reading, tokenize
+from orrery.llm import neighbours, packing, reading, tokenize
 from orrery.plans.staging import stage
 from orrery.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(neighbours.knn(table(spark, d, "vertices_nd"), table(spark, d, "root_metadata")))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    out = neighbours.knn(table(spark, d, "vertices_nd"), table(spark, d, "root_metadata"))
+    return out.select("dataset_id", "vid", "rank", "neighbour", F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """With leaves so small that the queue chooses among many at any size: whether 0.9 of the true nearest are found."""
+    v, root = table(spark, d, "vertices_nd"), table(spark, d, "root_metadata")
+    r = neighbours.recall(stage(neighbours.knn(v, root, leaf_rows=16), "small-leaves"), v, root)
+    return r.select("dataset_id", "n_queries", "n_true", (F.col("n_hit") >= 0.9 * F.col("n_true")).alias("enough"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"), "byte_bpe_50k")
 
@@ -40,6 +56,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.bands(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decode, p7_containers, p7_summary, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_recall, p6_ids, p6_decode, p7_containers, p7_summary, p8_found)}
+
+_NEAREST = """
+  v AS (SELECT DISTINCT dataset_id, vid, CAST(pos AS DOUBLE[]) AS pos FROM vertices_nd JOIN root_metadata USING (dataset_id)
+        WHERE pos IS NOT NULL AND len(pos) = ndim AND len(list_filter(pos, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  near AS (SELECT a.dataset_id, a.vid, b.vid AS neighbour, list_sum(list_transform(list_zip(a.pos, b.pos), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2,
+                  row_number() OVER (PARTITION BY a.dataset_id, a.vid ORDER BY d2, b.vid) AS rank
+           FROM v a JOIN v b ON a.dataset_id = b.dataset_id AND a.vid <> b.vid QUALIFY rank <= 10)
+"""
 
-SQL = {"p6_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+SQL = {
+    "p2_found": f"""WITH {_NEAREST} SELECT DISTINCT least(vid, neighbour) AS vid_a, greatest(vid, neighbour) AS vid_b FROM near""",
+    "p2_neighbours": f"""WITH {_NEAREST} SELECT dataset_id, vid, CAST(rank AS INT) AS rank, neighbour, round(sqrt(d2), 6) AS distance FROM near""",
+    "p2_recall": f"""WITH {_NEAREST} SELECT dataset_id, count(DISTINCT vid) AS n_queries, count(*) AS n_true, true AS enough FROM near WHERE vid % 100 = 0 GROUP BY 1""",
+    "p6_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
