@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import cells, compaction, hierarchy, neighbours, references
+from orrery.operators import cells, compaction, hierarchy, references
 from orrery.sources.tables import table
 
 
@@ -18,15 +18,6 @@ def p1_cells(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in out.columns if c.startswith("centre") or c == "radius"})
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.neighbour_pairs(neighbours.knn(table(spark, d, "vertices_nd"), table(spark, d, "root_metadata")))
-
-
-def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    out = neighbours.knn(table(spark, d, "vertices_nd"), table(spark, d, "root_metadata"))
-    return out.select("dataset_id", "vid", "rank", "neighbour", F.round(F.sqrt("d2"), 6).alias("distance"))
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.found(table(spark, d, "vertices"), table(spark, d, "shard_index"))
 
@@ -79,7 +70,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_cells, p2_found, p2_neighbours, p3_found, p3_plan, p3_rewrite, p4_found, p4_nodes, p4_whole, p4_pairs, p5_found, p5_report)
+    f.__name__: f for f in (p1_found, p1_cells, p3_found, p3_plan, p3_rewrite, p4_found, p4_nodes, p4_whole, p4_pairs, p5_found, p5_report)
 }
 
 _CELLS = """
@@ -92,14 +83,6 @@ _CELLS = """
   WHERE x IS NOT NULL AND y IS NOT NULL AND isfinite(x) AND isfinite(y) AND (ndim = 2 OR (z IS NOT NULL AND isfinite(z)))
 """
 
-_NEAREST = """
-  v AS (SELECT DISTINCT dataset_id, vid, CAST(pos AS DOUBLE[]) AS pos FROM vertices_nd JOIN root_metadata USING (dataset_id)
-        WHERE pos IS NOT NULL AND len(pos) = ndim AND len(list_filter(pos, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-  near AS (SELECT a.dataset_id, a.vid, b.vid AS neighbour, list_sum(list_transform(list_zip(a.pos, b.pos), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2,
-                  row_number() OVER (PARTITION BY a.dataset_id, a.vid ORDER BY d2, b.vid) AS rank
-           FROM v a JOIN v b ON a.dataset_id = b.dataset_id AND a.vid <> b.vid QUALIFY rank <= 10)
-"""
-
 _MANIFEST = """
   held AS (SELECT file_id, min(dataset_id) AS dataset_id, min(level) AS level, count(*) AS n_rows FROM vertices WHERE file_id IS NOT NULL GROUP BY 1),
   listed AS (SELECT file_id, min(dataset_id) AS dataset_id, min(level) AS level, min(n_records) AS lo, max(n_records) AS hi,
@@ -159,8 +142,6 @@ SQL = {
             FROM c JOIN s USING (dataset_id, chunk_key) GROUP BY 1, 2)
         SELECT s.* REPLACE (round(centre_x, 4) + 0.0 AS centre_x, round(centre_y, 4) + 0.0 AS centre_y, round(centre_z, 4) + 0.0 AS centre_z), round(radius, 4) AS radius
         FROM s JOIN r USING (dataset_id, chunk_key)""",
-    "p2_found": f"""WITH {_NEAREST} SELECT DISTINCT least(vid, neighbour) AS vid_a, greatest(vid, neighbour) AS vid_b FROM near""",
-    "p2_neighbours": f"""WITH {_NEAREST} SELECT dataset_id, vid, CAST(rank AS INT) AS rank, neighbour, round(sqrt(d2), 6) AS distance FROM near""",
     "p3_found": f"""WITH {_MANIFEST}
         SELECT DISTINCT file_id, 'repeat' AS issue FROM (SELECT file_id, min(file_id) OVER (PARTITION BY vid) AS f FROM vertices) WHERE file_id > f
         UNION ALL SELECT file_id, CASE WHEN l.file_id IS NULL THEN 'unlisted' WHEN h.file_id IS NULL THEN 'empty' ELSE 'count' END

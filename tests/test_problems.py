@@ -1,10 +1,9 @@
 import datetime as dt
 import random
 
-import numpy as np
 from conftest import rows
 
-from orrery.operators import cells, compaction, neighbours, references, skew
+from orrery.operators import cells, compaction, references, skew
 from pyspark.sql import functions as F
 
 V = "dataset_id int, level int, vid bigint, oid bigint, seq int, x float, y float, z float, fragment bigint, intensity float, category string, file_id bigint, written_at timestamp_ntz, deleted_at timestamp_ntz"
@@ -120,46 +119,3 @@ def test_references(spark):
     assert rows(got) == sorted((w for w in want if w[3]), key=repr)
     empty = references.geometry_broken(df.limit(0), root(spark), o.limit(0), l.limit(0), g.limit(0))
     assert rows(empty) == []
-
-
-def test_neighbours_small_is_exact(spark):
-    rng = np.random.default_rng(1)
-    x = rng.integers(0, 6, (80, 4)).astype(float)  # many ties and equal positions
-    x[:30] = x[0]  # a position held by many vids
-    data = [(3, int(v), list(map(float, p))) for v, p in zip(rng.permutation(500)[:80], x)]
-    bad = [(3, 900, None), (3, 901, [1.0] * 3), (3, 902, [float("nan")] * 4), (3, 903, []), (9, 904, [1.0] * 4), (4, 905, [1.0] * 4), (3, None, [1.0] * 4), data[3], data[40]]
-    v = spark.createDataFrame(data + bad, "dataset_id int, vid bigint, pos array<float>")
-    meta = spark.createDataFrame([(3, 4), (4, 4)], "dataset_id int, ndim int")
-    got: dict = {}
-    for r in neighbours.knn(v, meta, k=10).collect():
-        got.setdefault(r["vid"], {})[r["rank"]] = r["neighbour"]
-    pos = {i: np.array(p) for _, i, p in data}
-    assert set(got) == set(pos)
-    for i, p in pos.items():
-        want = sorted((float(((p - q) ** 2).sum()), j) for j, q in pos.items() if j != i)[:10]
-        assert [got[i][k] for k in range(1, 11)] == [j for _, j in want], i
-    assert rows(neighbours.knn(v.limit(0), meta)) == []
-
-
-def test_neighbours_recall(spark):
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(8, 16)) * 2
-    x = (centres[rng.integers(0, 8, 6000)] + rng.normal(size=(6000, 16))).astype(np.float32)
-    v = spark.createDataFrame([(1, i, p.tolist()) for i, p in enumerate(x)], "dataset_id int, vid bigint, pos array<float>")
-    meta = spark.createDataFrame([(1, 16)], "dataset_id int, ndim int")
-    near = neighbours.knn(v, meta, k=10, leaf_rows=256, probes=16).toPandas()
-    hits = 0
-    for i in range(0, 6000, 100):
-        d = ((x.astype(float) - x[i]) ** 2).sum(1)
-        d[i] = np.inf
-        hits += len(set(np.argsort(d)[:10]) & set(near[near.vid == i].neighbour))
-    assert len(near) == 60000 and hits / 600 >= 0.9
-
-
-def test_leaf_is_split_inside_its_task():
-    import pyarrow as pa
-
-    x = np.random.default_rng(3).normal(size=(3000, 8)).astype(np.float32)
-    t = pa.table({"dataset_id": pa.array([1] * 3000, pa.int32()), "leaf": pa.array([0] * 3000), "vid": pa.array(range(3000)), "pos": neighbours._binary(x), "member": [True] * 3000, "query": [True] * 3000})
-    out = neighbours._leaf_search(5, 100)(t)
-    assert out.num_rows == 3000 and all(len(n) == 5 for n in out.column("nbr").to_pylist())
