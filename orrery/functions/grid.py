@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +48,11 @@ def in_box(axes: Sequence[str], lo: Sequence[float], hi: Sequence[float]) -> Col
     return reduce(lambda a, b: a & b, [F.col(c).between(l, h) for c, l, h in zip(axes, lo, hi)])
 
 
-def in_box_cells(cells: Sequence[str], lo: Sequence[float], hi: Sequence[float], size: Sequence[float]) -> Column:
-    """Cell ranges of a closed box, so that files partitioned or sorted by cell are pruned."""
-    from math import floor
-
-    return reduce(
-        lambda a, b: a & b,
-        [F.col(c).between(floor(l / s), floor(h / s)) for c, l, h, s in zip(cells, lo, hi, size)],
-    )
+def in_box_cells(cells: Sequence[str], lo: Sequence[float], hi: Sequence[float], size: Sequence[Column | float]) -> Column:
+    """Cell ranges of a closed box, so that files partitioned or sorted by cell are pruned; null cells (absent axes) pass."""
+    edge = lambda v, s: F.floor(F.lit(float(v)) / (s if isinstance(s, Column) else F.lit(float(s))))
+    parts = [F.coalesce(F.col(c).between(edge(l, s), edge(h, s)), F.col(c).isNull()) for c, l, h, s in zip(cells, lo, hi, size)]
+    return reduce(lambda a, b: a & b, parts)
 
 
 def bin_to_chunk(b: Column, per_chunk: int) -> Column:
@@ -70,6 +68,16 @@ def linear_fragment(bins: Sequence[Column], per_chunk: Sequence[int]) -> Column:
     return out.cast("bigint")
 
 
+def unlinear_fragment(frag: Column, per_chunk: Sequence[int]) -> list[Column]:
+    """Place of each axis inside the chunk, from a row-major index made by :func:`linear_fragment`."""
+    return [F.pmod(F.floor(frag / F.lit(prod(per_chunk[i + 1 :]))), F.lit(n)).cast("bigint") for i, n in enumerate(per_chunk)]
+
+
+def chunk_bins(chunk: Column, per_chunk: int) -> tuple[Column, Column]:
+    """First and last bin of a chunk along an axis, both inside it."""
+    return chunk * F.lit(per_chunk), chunk * F.lit(per_chunk) + F.lit(per_chunk - 1)
+
+
 def morton(coords: Sequence[Column], bits: int = 21, offset: int = 0) -> Column:
     """Interleaved bits of non-negative cells (``offset`` is added first); bits * len(coords) may be 63 at most."""
     n = len(coords)
@@ -116,3 +124,55 @@ def hilbert2d(x: Column, y: Column, order: int = 16) -> Column:
 def gray(c: Column) -> Column:
     """Binary-reflected Gray code of a cell."""
     return c.bitwiseXOR(F.shiftright(c, 1))
+
+
+def ungray(code: Column) -> Column:
+    """The cell of a Gray code of up to 32 bits."""
+    return F.aggregate(F.array(*map(F.lit, (1, 2, 4, 8, 16))), code, lambda a, k: a.bitwiseXOR(F.call_function("shiftright", a, k)))
+
+
+def unhilbert2d(code: Column, order: int = 16) -> list[Column]:
+    """The cell at a position of the curve of :func:`hilbert2d`."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    start = F.struct(zero.alias("x"), zero.alias("y"), code.cast("bigint").alias("d"))
+
+    def step(a: Column, s: Column) -> Column:
+        rx = F.when(a["d"].bitwiseAND(F.lit(2)) > 0, one).otherwise(zero)
+        ry = a["d"].bitwiseAND(one).bitwiseXOR(rx)
+        fx, fy = F.when(rx == 1, s - one - a["x"]).otherwise(a["x"]), F.when(rx == 1, s - one - a["y"]).otherwise(a["y"])
+        x, y = F.when(ry == 0, fy).otherwise(a["x"]), F.when(ry == 0, fx).otherwise(a["y"])
+        return F.struct((x + s * rx).alias("x"), (y + s * ry).alias("y"), F.shiftright(a["d"], 2).alias("d"))
+
+    end = F.aggregate(F.array(*[F.lit(1 << k).cast("bigint") for k in range(order)]), start, step)
+    return [end["x"], end["y"]]
+
+
+def hilbert(coords: Sequence[Column], order: int = 16) -> Column:
+    """Curve position of a cell: itself for one axis, Hilbert for two, interleaved Gray codes for more.
+
+    A negative index is taken ``2**order`` higher; ``order * len(coords)`` may be 63 at most.
+    """
+    up = [F.when(c < 0, c + F.lit(1 << order)).otherwise(c).cast("bigint") for c in coords]
+    if len(up) < 2:
+        return coords[0].cast("bigint")
+    return hilbert2d(*up, order) if len(up) == 2 else morton([gray(c) for c in up], order)
+
+
+def unhilbert(code: Column, n: int, order: int = 16) -> list[Column]:
+    """The non-negative cell of a position made by :func:`hilbert`."""
+    if n < 2:
+        return [code]
+    return unhilbert2d(code, order) if n == 2 else [ungray(c) for c in unmorton(code, n, order)]
+
+
+def shard_id(coords: Sequence[Column], layout: str = "octree", size: int = 64, offset: int = 1 << 20) -> Column:
+    """Shard of a cell: ``size`` consecutive positions of the Morton curve (octree, index_table) or of :func:`hilbert` (snake).
+
+    ``flat`` spreads cells by a hash.
+    """
+    if layout == "flat":
+        return F.xxhash64(*coords)
+    if layout not in ("octree", "index_table", "snake"):
+        raise ValueError(layout)
+    code = hilbert(coords) if layout == "snake" else morton(coords, offset=offset)
+    return F.call_function("div", code, F.lit(max(size, 1)).cast("bigint"))

@@ -35,8 +35,8 @@ def key() -> Column:
     return chunk_key([F.col(c) for c in ("cx", "cy", "cz")])
 
 
-def box(points: DataFrame, lo: Sequence[float], hi: Sequence[float], size: Sequence[float] | None = None) -> DataFrame:
-    """Points inside a closed box; with ``size``, cell ranges are added so that files clustered by cell are skipped."""
+def box(points: DataFrame, lo: Sequence[float], hi: Sequence[float], size: Sequence[Column | float] | None = None) -> DataFrame:
+    """Points inside a closed box; with ``size`` (numbers or Columns), cell ranges are added so that files clustered by cell are skipped."""
     out = points.filter(in_box("xyz"[: len(lo)], lo, hi))
     return out if size is None else out.filter(in_box_cells(["cx", "cy", "cz"][: len(lo)], lo, hi, size))
 
@@ -108,6 +108,18 @@ def cell_offsets(points: DataFrame) -> DataFrame:
     return per.withColumn("first_row", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
+def read(vertices: DataFrame, root: DataFrame, wanted: Column | DataFrame, on: Sequence[str] = ("dataset_id", "oid")) -> DataFrame:
+    """Placed vertices that a condition on attributes, or a table of keys ``on``, selects.
+
+    Any delivery of a vertex may lack an attribute, so only all its deliveries together tell whether it is selected.  The
+    vids of which any delivery is selected are found by a scan with the condition pushed down; their deliveries alone
+    are merged, and the test is made again.
+    """
+    pick = (lambda df: df.filter(wanted)) if isinstance(wanted, Column) else (lambda df: df.join(wanted, list(on), "left_semi"))
+    some = pick(vertices.filter("deleted_at IS NULL")).select(F.col("vid").alias("_v")).distinct()
+    return pick(placed(vertices.join(some, F.col("vid") == F.col("_v"), "left_semi"), root))
+
+
 def of_groups(points: DataFrame, groups: DataFrame, gids: Sequence[int] | None = None, oids: Sequence[int] | None = None) -> DataFrame:
     """Points of the members of groups, intersected with ``oids``; an unknown gid raises nothing and selects nothing."""
     members = groups.filter("oid IS NOT NULL")

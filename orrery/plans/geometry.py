@@ -59,8 +59,12 @@ def w(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "vertices"), table(spark, d, "root_metadata")
+
+
 def _placed(spark: SparkSession, d: str) -> DataFrame:
-    return points.placed(table(spark, d, "vertices"), table(spark, d, "root_metadata"))
+    return points.placed(*_tables(spark, d))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -84,23 +88,6 @@ def bin_count(spark, d):
     return g.select("dataset_id", "level", grid.chunk_key([F.col(b) for b in coarsen.BIN]).alias("bin_key"), "n")
 
 
-@query(w(_LIVE, _BINS.format(f=0.25)) + """SELECT dataset_id, bi, bj, bk, CAST(floor(bi / 4.0) AS BIGINT) AS cx, CAST(floor(bj / 4.0) AS BIGINT) AS cy, CAST(floor(bk / 4.0) AS BIGINT) AS cz,
-    ((bi % 4 + 4) % 4 * 4 + (bj % 4 + 4) % 4) * 4 + (bk % 4 + 4) % 4 AS frag FROM binned WHERE bk IS NOT NULL GROUP BY ALL""")
-def bins_to_chunk(spark, d):
-    b = _binned(spark, d, 0.25).filter("bk IS NOT NULL").select("dataset_id", *coarsen.BIN).distinct()
-    cols = [F.col(c) for c in coarsen.BIN]
-    return b.select("dataset_id", *coarsen.BIN, *[grid.bin_to_chunk(c, 4).alias(n) for c, n in zip(cols, ("cx", "cy", "cz"))], grid.linear_fragment(cols, [4, 4, 4]).alias("frag"))
-
-
-@query(w(_LIVE, _BINS.format(f=0.25)) + """SELECT dataset_id, frag, CAST(floor(frag / 16) AS BIGINT) AS ix, CAST(floor(frag / 4) % 4 AS BIGINT) AS iy, frag % 4 AS iz, count(*) AS n
-    FROM (SELECT dataset_id, ((bi % 4 + 4) % 4 * 4 + (bj % 4 + 4) % 4) * 4 + (bk % 4 + 4) % 4 AS frag FROM binned WHERE bk IS NOT NULL) GROUP BY ALL""")
-def fragment_index(spark, d):
-    b = _binned(spark, d, 0.25).filter("bk IS NOT NULL").withColumn("frag", grid.linear_fragment([F.col(c) for c in coarsen.BIN], [4, 4, 4]))
-    g = b.groupBy("dataset_id", "frag").agg(F.count("*").alias("n"))
-    ix = lambda k: F.pmod(F.floor(F.col("frag") / k), F.lit(4)).cast("bigint")
-    return g.select("dataset_id", "frag", ix(16).alias("ix"), ix(4).alias("iy"), ix(1).alias("iz"), "n")
-
-
 @query(w(_LIVE) + "SELECT dataset_id, level, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM placed GROUP BY ALL")
 def bounds(spark, d):
     return _placed(spark, d).groupBy("dataset_id", "level").agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
@@ -120,10 +107,11 @@ def bbox_points(spark, d):
     return points.box(_placed(spark, d), [-100, -200, -150], [250, 150, 300]).select("vid", "dataset_id", "level", "x", "y", "z")
 
 
-@query(w(_LIVE) + "SELECT vid, chunk_key FROM placed WHERE dataset_id = 1 AND level = 0 AND x BETWEEN 0 AND 350 AND y BETWEEN 0 AND 350 AND z BETWEEN 0 AND 350")
+@query(w(_LIVE) + f"SELECT vid, dataset_id, level, chunk_key FROM placed WHERE x BETWEEN -100 AND 350 AND y BETWEEN -50 AND 350 AND z BETWEEN -100 AND 350")
 def bbox_pruned(spark, d):
-    p = _placed(spark, d).filter("dataset_id = 1 AND level = 0")
-    return points.box(p, [0, 0, 0], [350, 350, 350], [100, 100, 100]).select("vid", points.key().alias("chunk_key"))
+    size = table(spark, d, "root_metadata").select("dataset_id", *[F.get("chunk_shape", F.lit(i)).alias(f"s{i}") for i in range(3)])
+    p = points.box(_placed(spark, d).join(size, "dataset_id"), [-100, -50, -100], [350, 350, 350], [F.col(f"s{i}") for i in range(3)])
+    return p.select("vid", "dataset_id", "level", points.key().alias("chunk_key"))
 
 
 @query("""SELECT dataset_id, cx, cy, cz FROM (SELECT dataset_id, unnest(range(CAST(floor(-75 / chunk_shape[1]) AS BIGINT), CAST(floor(125 / chunk_shape[1]) AS BIGINT) + 1)) AS cx, chunk_shape
@@ -145,49 +133,9 @@ def bbox_batch_join(spark, d):
     return points.in_boxes(_placed(spark, d), boxes).groupBy("box_id", "dataset_id").agg(F.count("*").alias("n"))
 
 
-def _cells3(spark, d):
-    return _placed(spark, d).filter("level = 0 AND cz IS NOT NULL").select("dataset_id", "cx", "cy", "cz").distinct()
-
-
-_CELLS3 = "cells AS (SELECT DISTINCT dataset_id, cx, cy, cz FROM placed WHERE level = 0 AND cz IS NOT NULL)"
-
-
-@query(w(_LIVE, _CELLS3) + """SELECT dataset_id, cx, cy, cz, cx + i AS nx, cy + j AS ny, cz + k AS nz FROM cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j),
-    (SELECT unnest([-1, 0, 1]) AS k) WHERE NOT (i = 0 AND j = 0 AND k = 0)""")
-def neighbours(spark, d):
-    return points.neighbours(_cells3(spark, d))
-
-
-@query(w(_LIVE, _CELLS3) + """SELECT a.dataset_id, a.cx, a.cy, a.cz, count(*) AS n FROM cells a JOIN cells b ON a.dataset_id = b.dataset_id AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1
-    AND abs(a.cz - b.cz) <= 1 AND NOT (a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz) GROUP BY ALL""")
-def neighbours_occupied(spark, d):
-    return points.occupied_neighbours(_cells3(spark, d)).groupBy("dataset_id", "cx", "cy", "cz").agg(F.count("*").alias("n"))
-
-
 _MORTON = " | ".join(f"((((c{a} + 1048576) >> {k}) & 1) << {3 * k + i})" for k in range(21) for i, a in enumerate("xyz"))
 
 
-@query(w(_LIVE, _CELLS3) + f"SELECT dataset_id, cx, cy, cz, {_MORTON} AS code, CAST(floor(({_MORTON}) / 64) AS BIGINT) AS shard_id FROM cells")
-def morton(spark, d):
-    c = _cells3(spark, d)
-    code = grid.morton([F.col("cx"), F.col("cy"), F.col("cz")], offset=1 << 20)
-    return c.withColumn("code", code).withColumn("shard_id", F.shiftright("code", 6))
-
-
-@query(w(_LIVE, _CELLS3) + "SELECT dataset_id, cx, cy, cz FROM cells")
-def morton_roundtrip(spark, d):
-    c = _cells3(spark, d).select("dataset_id", grid.morton([F.col("cx"), F.col("cy"), F.col("cz")], offset=1 << 20).alias("code"))
-    return c.select("dataset_id", *[(v - (1 << 20)).alias(n) for v, n in zip(grid.unmorton(F.col("code"), 3), ("cx", "cy", "cz"))])
-
-
-@query(w(_LIVE, _CELLS3) + "SELECT dataset_id, cx + 32768 AS ix, xor(cx + 32768, (cx + 32768) >> 1) AS code FROM cells GROUP BY ALL")
-def gray_code(spark, d):
-    ix = F.col("cx") + 32768
-    return _cells3(spark, d).select("dataset_id", ix.alias("ix"), grid.gray(ix).alias("code")).distinct()
-
-
-# the same over two and three axes and all levels; those above leave out two-axis datasets and coarse levels, as their SQL
-
 _LEVEL_CELL = ["dataset_id", "level", "cx", "cy", "cz"]
 _CELLS = "cells AS (SELECT DISTINCT dataset_id, level, cx, cy, cz FROM placed)"
 _FRAG = "CASE WHEN bk IS NULL THEN (bi % 4 + 4) % 4 * 4 + (bj % 4 + 4) % 4 ELSE ((bi % 4 + 4) % 4 * 4 + (bj % 4 + 4) % 4) * 4 + (bk % 4 + 4) % 4 END"
@@ -205,13 +153,13 @@ def _by_axes(rows: DataFrame, third: str, f) -> DataFrame:
 
 @query(w(_LIVE, _CELLS) + """SELECT dataset_id, level, cx, cy, cz, cx + i AS nx, cy + j AS ny, cz + k AS nz FROM cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j),
     (SELECT unnest([-1, 0, 1]) AS k) WHERE NOT (i = 0 AND j = 0 AND k = 0) AND (cz IS NOT NULL OR k = 0)""")
-def neighbours_all(spark, d):
+def neighbours(spark, d):
     return _by_axes(_cells(spark, d), "cz", lambda c, axes: points.neighbours(c, axes=axes))
 
 
 @query(w(_LIVE, _CELLS) + """SELECT a.dataset_id, a.level, a.cx, a.cy, a.cz, count(*) AS n FROM cells a JOIN cells b ON a.dataset_id = b.dataset_id AND a.level = b.level AND abs(a.cx - b.cx) <= 1
     AND abs(a.cy - b.cy) <= 1 AND coalesce(abs(a.cz - b.cz), 0) <= 1 AND NOT (a.cx = b.cx AND a.cy = b.cy AND a.cz IS NOT DISTINCT FROM b.cz) GROUP BY ALL""")
-def neighbours_occupied_all(spark, d):
+def neighbours_occupied(spark, d):
     found = _by_axes(_cells(spark, d), "cz", lambda c, axes: points.occupied_neighbours(c, axes=axes, keys=("dataset_id", "level")))
     return found.groupBy(*_LEVEL_CELL).agg(F.count("*").alias("n"))
 
@@ -220,20 +168,20 @@ def _coded(spark, d):
     return _by_axes(_cells(spark, d), "cz", lambda c, axes: c.withColumn("code", grid.morton([F.col(f"c{a}") for a in axes], offset=1 << 20)))
 
 
-@query(w(_LIVE, _CELLS) + f"SELECT *, CAST(floor(code / 64) AS BIGINT) AS shard_id FROM (SELECT *, CASE WHEN cz IS NULL THEN {_MORTON2} ELSE {_MORTON} END AS code FROM cells)")
-def morton_all(spark, d):
-    return _coded(spark, d).withColumn("shard_id", F.shiftright("code", 6))
+@query(w(_LIVE, _CELLS) + f"SELECT *, code >> 6 AS shard_id FROM (SELECT *, CASE WHEN cz IS NULL THEN {_MORTON2} ELSE {_MORTON} END AS code FROM cells)")
+def morton(spark, d):
+    return _coded(spark, d).withColumn("shard_id", F.call_function("div", F.col("code"), F.lit(64).cast("bigint")))
 
 
 @query(w(_LIVE, _CELLS) + "SELECT * FROM cells")
-def morton_roundtrip_all(spark, d):
+def morton_roundtrip(spark, d):
     back = lambda c, axes: c.select("dataset_id", "level", *[(v - (1 << 20)).alias(f"c{a}") for v, a in zip(grid.unmorton(F.col("code"), len(axes)), axes)])
     return _by_axes(_coded(spark, d), "cz", back)
 
 
 @query(w(_LIVE, _CELLS) + """SELECT DISTINCT dataset_id, level, axis, i AS ix, xor(i, i >> 1) AS code FROM (SELECT dataset_id, level, unnest([0, 1, 2]) AS axis, unnest([cx + 32768, cy + 32768, cz + 32768]) AS i FROM cells)
     WHERE i IS NOT NULL""")
-def gray_code_all(spark, d):
+def gray_code(spark, d):
     c = _cells(spark, d).select("dataset_id", "level", F.posexplode(F.array(*[F.col(f"c{a}") + 32768 for a in "xyz"])).alias("axis", "ix")).filter("ix IS NOT NULL").distinct()
     return c.withColumn("code", grid.gray(F.col("ix")))
 
@@ -244,7 +192,7 @@ def _frag(axes: str) -> Column:
 
 @query(w(_LIVE, _BINS.format(f=0.25)) + f"""SELECT dataset_id, bi, bj, bk, CAST(floor(bi / 4.0) AS BIGINT) AS cx, CAST(floor(bj / 4.0) AS BIGINT) AS cy, CAST(floor(bk / 4.0) AS BIGINT) AS cz,
     {_FRAG} AS frag FROM binned GROUP BY ALL""")
-def bins_to_chunk_all(spark, d):
+def bins_to_chunk(spark, d):
     b = _binned(spark, d, 0.25).select("dataset_id", *coarsen.BIN).distinct()
     chunk = {f"c{a}": grid.bin_to_chunk(F.col(c), 4) for c, a in zip(coarsen.BIN, "xyz")}
     return _by_axes(b, "bk", lambda r, axes: r.withColumns(chunk | {"frag": _frag(axes)}))
@@ -252,26 +200,64 @@ def bins_to_chunk_all(spark, d):
 
 @query(w(_LIVE, _BINS.format(f=0.25)) + f"""SELECT dataset_id, frag, CAST(floor(frag / CASE WHEN two THEN 4 ELSE 16 END) AS BIGINT) AS ix, CASE WHEN two THEN frag % 4 ELSE CAST(floor(frag / 4) % 4 AS BIGINT) END AS iy,
     CASE WHEN NOT two THEN frag % 4 END AS iz, count(*) AS n FROM (SELECT dataset_id, bk IS NULL AS two, {_FRAG} AS frag FROM binned) GROUP BY ALL""")
-def fragment_index_all(spark, d):
+def fragment_index(spark, d):
     def index(b, axes):
         g = b.withColumn("frag", _frag(axes)).groupBy("dataset_id", "frag").agg(F.count("*").alias("n"))
-        return g.withColumns({f"i{a}": F.pmod(F.floor(F.col("frag") / 4 ** (len(axes) - 1 - k)), F.lit(4)).cast("bigint") for k, a in enumerate(axes)})
+        return g.withColumns({f"i{a}": c for a, c in zip(axes, grid.unlinear_fragment(F.col("frag"), [4] * len(axes)))})
 
     return _by_axes(_binned(spark, d, 0.25), "bk", index).select("dataset_id", "frag", "ix", "iy", "iz", "n")
 
 
 @query(w(_LIVE) + """SELECT dataset_id, round(power(greatest(max(x) - min(x), 1e-9) * greatest(max(y) - min(y), 1e-9) * coalesce(greatest(CASE WHEN min(ndim) > 2 THEN max(z) - min(z) END, CASE WHEN min(ndim) > 2 THEN 1e-9 END), 1)
     / greatest(least(count(*) / 4.0, count(*)), 1), 1.0 / least(min(ndim), 3)), 4) AS bin_size FROM placed GROUP BY 1""")
-def bin_estimate_all(spark, d):
+def bin_estimate(spark, d):
     g = _placed(spark, d).groupBy("dataset_id").agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(f"s{a}") for a in "xyz"])
     size = lambda axes: F.round(coarsen.bin_estimate(F.col("n"), [F.col(f"s{a}") for a in axes], F.col("n") / 4), 4).alias("bin_size")
     return _by_axes(g, "sz", lambda r, axes: r.select("dataset_id", size(axes)))
 
 
-@query()
+def _hilbert_sql(order: int = 16) -> str:
+    """CTEs h<order>..h0 that walk the curve of two axes bit by bit from cells u(.., x, y)."""
+    out = [f"h{order} AS MATERIALIZED (SELECT *, CAST(0 AS BIGINT) AS code FROM u)"]
+    for k in range(order - 1, -1, -1):
+        low = (1 << k) - 1
+        out.append(f"""h{k} AS MATERIALIZED (SELECT * EXCLUDE (rx, ry) REPLACE (code + {1 << 2 * k} * xor(3 * rx, ry) AS code, CASE WHEN ry = 1 THEN x & {low} WHEN rx = 1 THEN {low} - (y & {low}) ELSE y & {low} END AS x,
+            CASE WHEN ry = 1 THEN y & {low} WHEN rx = 1 THEN {low} - (x & {low}) ELSE x & {low} END AS y) FROM (SELECT *, (x >> {k}) & 1 AS rx, (y >> {k}) & 1 AS ry FROM h{k + 1}))""")
+    return ",".join(out)
+
+
+_UPPER = ", ".join(f"CASE WHEN c{a} < 0 THEN c{a} + 65536 ELSE c{a} END AS {a}" for a in "xyz")
+_GRAY3 = " | ".join(f"(((xor({a}, {a} >> 1) >> {k}) & 1) << {3 * k + i})" for k in range(16) for i, a in enumerate("xyz"))
+
+
+@query(w(_LIVE, f"u AS (SELECT DISTINCT dataset_id, level, cx, cy, {_UPPER.rsplit(', ', 1)[0]} FROM placed)", _hilbert_sql()) + "SELECT dataset_id, level, cx, cy, code FROM h0")
 def hilbert2d(spark, d):
-    c = _placed(spark, d).filter("level = 0").select("dataset_id", "cx", "cy").distinct()
-    return c.withColumn("code", grid.hilbert2d(F.col("cx") + 32768, F.col("cy") + 32768, 16))
+    """Over the first two axes of all cells."""
+    c = _cells(spark, d).select("dataset_id", "level", "cx", "cy").distinct()
+    return c.withColumn("code", grid.hilbert([F.col("cx"), F.col("cy")]))
+
+
+@query(w(_LIVE, f"u AS (SELECT DISTINCT dataset_id, level, cx, cy, cz, {_UPPER} FROM placed WHERE cz IS NOT NULL)") + f"SELECT dataset_id, level, cx, cy, cz, {_GRAY3} AS code, ({_GRAY3}) // 64 AS shard_id FROM u")
+def hilbert3d(spark, d):
+    """Datasets of three axes, as the curve is another one for two (``hilbert2d``)."""
+    c, axes = _cells(spark, d).filter("cz IS NOT NULL"), [F.col(f"c{a}") for a in "xyz"]
+    return c.withColumns({"code": grid.hilbert(axes), "shard_id": grid.shard_id(axes, "snake")})
+
+
+@query(w(_LIVE, _CELLS) + "SELECT * FROM cells")
+def hilbert_roundtrip(spark, d):
+    def back(c, axes):
+        coded = c.select("dataset_id", "level", grid.hilbert([F.col(f"c{a}") for a in axes]).alias("code"))
+        up = coded.select("dataset_id", "level", *[v.alias(f"c{a}") for v, a in zip(grid.unhilbert(F.col("code"), len(axes)), axes)])
+        return up.select("dataset_id", "level", *[F.when(F.col(f"c{a}") >= 32768, F.col(f"c{a}") - 65536).otherwise(F.col(f"c{a}")).alias(f"c{a}") for a in axes])
+
+    return _by_axes(_cells(spark, d), "cz", back)
+
+
+@query(w(_LIVE, _CELLS) + "SELECT dataset_id, level, cx, cy, cz, cx * 4 AS lo_x, cx * 4 + 3 AS hi_x, cy * 4 AS lo_y, cy * 4 + 3 AS hi_y, cz * 2 AS lo_z, cz * 2 + 1 AS hi_z FROM cells")
+def chunk_bin_ranges(spark, d):
+    ends = {f"{n}_{a}": e for a, k in (("x", 4), ("y", 4), ("z", 2)) for n, e in zip(("lo", "hi"), grid.chunk_bins(F.col(f"c{a}"), k))}
+    return _cells(spark, d).withColumns(ends)
 
 
 @query(w(_LIVE) + "SELECT vid, dataset_id, level, chunk_key, row_number() OVER (PARTITION BY dataset_id, level, chunk_key ORDER BY vid) - 1 AS local_idx FROM placed")
@@ -287,28 +273,17 @@ def chunk_offsets(spark, d):
 
 # ---- reads
 
-@query(w(_LIVE) + "SELECT dataset_id, level, oid, seq, vid, x, y, z FROM placed WHERE oid BETWEEN 300 AND 400")
-def read_by_object(spark, d):
-    """Of some objects, as its SQL; ``read_by_object_all`` takes them all."""
-    return _placed(spark, d).filter("oid BETWEEN 300 AND 400").select("dataset_id", "level", "oid", "seq", "vid", "x", "y", "z")
-
-
-@query(w(_LIVE) + "SELECT vid, dataset_id, oid FROM placed p WHERE EXISTS (SELECT 1 FROM groupings g WHERE g.dataset_id = p.dataset_id AND g.oid = p.oid AND gid % 1000 < 3)")
-def read_by_group(spark, d):
-    """Of some groups, as its SQL; ``read_by_group_all`` takes them all."""
-    g = table(spark, d, "groupings").filter("gid % 1000 < 3")
-    return points.of_groups(_placed(spark, d), g).select("vid", "dataset_id", "oid")
-
-
 @query(w(_LIVE) + "SELECT vid, dataset_id, oid FROM placed p WHERE EXISTS (SELECT 1 FROM groupings g WHERE g.dataset_id = p.dataset_id AND g.oid = p.oid AND gid IS NOT NULL)")
-def read_by_group_all(spark, d):
-    g = table(spark, d, "groupings").filter("gid IS NOT NULL")
-    return points.of_groups(_placed(spark, d), g).select("vid", "dataset_id", "oid")
+def read_by_group(spark, d):
+    g = table(spark, d, "groupings").filter("gid IS NOT NULL AND oid IS NOT NULL").select("dataset_id", "oid").distinct()
+    return points.read(*_tables(spark, d), g).select("vid", "dataset_id", "oid")
 
 
-@query(w(_LIVE) + "SELECT dataset_id, level, oid, seq, vid, x, y, z FROM placed WHERE oid IS NOT NULL")
-def read_by_object_all(spark, d):
-    return _placed(spark, d).filter("oid IS NOT NULL").select("dataset_id", "level", "oid", "seq", "vid", "x", "y", "z")
+@query(w(_LIVE) + "SELECT dataset_id, level, oid, seq, vid, x, y, z FROM placed p WHERE EXISTS (SELECT 1 FROM object_index o WHERE o.dataset_id = p.dataset_id AND o.oid = p.oid AND o.deleted_at IS NULL)")
+def read_by_object(spark, d):
+    """The vertices of all objects that object_index holds and does not call deleted."""
+    o = table(spark, d, "object_index").filter("deleted_at IS NULL AND oid IS NOT NULL").select("dataset_id", "oid").distinct()
+    return points.read(*_tables(spark, d), o).select("dataset_id", "level", "oid", "seq", "vid", "x", "y", "z")
 
 
 @query(w(_LIVE) + "SELECT vid, dataset_id, level, chunk_key FROM placed WHERE chunk_key IN ('0.0.0', '1.0.0', '-1.0.0', '0.0')")
@@ -321,7 +296,7 @@ _TIDY = "nullif(regexp_replace(lower(trim(category)), '\\s+', ' ', 'g'), '')"
 
 @query(w(_LIVE) + f"SELECT vid, dataset_id, level FROM placed WHERE {_TIDY} = 'trunk'")
 def attr_filter(spark, d):
-    return _placed(spark, d).filter(points.clean_category(F.col("category")) == "trunk").select("vid", "dataset_id", "level")
+    return points.read(*_tables(spark, d), points.clean_category(F.col("category")) == "trunk").select("vid", "dataset_id", "level")
 
 
 @query(w(_LIVE) + f"""SELECT vid, coalesce(r, -1) AS code FROM live LEFT JOIN (SELECT {_TIDY} AS c, row_number() OVER (ORDER BY {_TIDY}) - 1 AS r FROM live WHERE {_TIDY} IS NOT NULL GROUP BY 1)
@@ -435,9 +410,9 @@ def _segments(spark, d):
     return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day("o_orderdate").alias("x0"), F.col("o_totalprice").alias("y0"), day("l_shipdate").alias("x1"), F.col("l_extendedprice").alias("y1"))
 
 
-@query(w(_SEGMENTS) + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(x0 AS INT) AS x0, CAST(x1 AS INT) AS x1 FROM segs WHERE (x0 BETWEEN 365 AND 730 AND y0 BETWEEN 10000 AND 90000) OR (x1 BETWEEN 365 AND 730 AND y1 BETWEEN 10000 AND 90000)")
+@query(w(_SEGMENTS) + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(x0 AS INT) AS x0, CAST(x1 AS INT) AS x1 FROM segs WHERE (x0 BETWEEN 1200 AND 2000 AND y0 BETWEEN 10000 AND 90000) OR (x1 BETWEEN 1200 AND 2000 AND y1 BETWEEN 10000 AND 90000)")
 def lines_bbox_any(spark, d):
-    return polylines.segments_touching(_segments(spark, d), [365, 10000], [730, 90000]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x0", "x1")
+    return polylines.segments_touching(_segments(spark, d), [1200, 10000], [2000, 90000]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x0", "x1")
 
 
 @query(w(_SEGMENTS) + "SELECT floor(x0 / 100.0) = floor(x1 / 100.0) AND floor(y0 / 20000.0) = floor(y1 / 20000.0) AS same_cell, count(*) AS n FROM segs GROUP BY 1")
@@ -447,7 +422,21 @@ def lines_same_cell(spark, d):
     return s.groupBy(same.alias("same_cell")).agg(F.count("*").alias("n"))
 
 
-@query()
+_PEUCKER = """
+  ends AS (SELECT dataset_id, level, oid, max(ord) AS b FROM lines GROUP BY ALL),
+  p AS (SELECT dataset_id, level, oid, vid, ord, coalesce(x, 0) AS x, coalesce(y, 0) AS y, coalesce(z, 0) AS z FROM lines),
+  seg AS (SELECT dataset_id, level, oid, CAST(0 AS BIGINT) AS a, b FROM ends
+    UNION ALL
+    SELECT dataset_id, level, oid, unnest([a, -best.k]) AS a, unnest([-best.k, b]) AS b FROM (
+      SELECT s.dataset_id, s.level, s.oid, s.a, s.b, max(struct_pack(d := coalesce(sqrt(power(m.x - u.x - t * (v.x - u.x), 2) + power(m.y - u.y - t * (v.y - u.y), 2) + power(m.z - u.z - t * (v.z - u.z), 2)), 0), k := -m.ord)) AS best
+      FROM seg s JOIN p u ON (u.dataset_id, u.level, u.oid, u.ord) = (s.dataset_id, s.level, s.oid, s.a) JOIN p v ON (v.dataset_id, v.level, v.oid, v.ord) = (s.dataset_id, s.level, s.oid, s.b)
+      JOIN p m ON (m.dataset_id, m.level, m.oid) = (s.dataset_id, s.level, s.oid) AND m.ord > s.a AND m.ord < s.b,
+      LATERAL (SELECT power(v.x - u.x, 2) + power(v.y - u.y, 2) + power(v.z - u.z, 2) AS size), LATERAL (SELECT CASE WHEN size > 0 THEN
+        greatest(0, least(1, ((m.x - u.x) * (v.x - u.x) + (m.y - u.y) * (v.y - u.y) + (m.z - u.z) * (v.z - u.z)) / size)) ELSE 0 END AS t)
+      GROUP BY ALL) WHERE best.d > 1.0)"""
+
+
+@query("WITH RECURSIVE " + _LIVE + "," + _PEUCKER + """ SELECT DISTINCT p.dataset_id, p.level, p.oid, p.vid, p.ord FROM (SELECT dataset_id, level, oid, a AS ord FROM seg UNION SELECT dataset_id, level, oid, b FROM seg) k JOIN p USING (dataset_id, level, oid, ord)""")
 def douglas_peucker(spark, d):
     return polylines.simplify(_lines(spark, d), 1.0)
 
@@ -604,19 +593,12 @@ _UP = """up1 AS (SELECT b.dataset_id, b.vid AS src_vid, m.vid AS dst_vid, b.chun
     JOIN (SELECT dataset_id, concat_ws('.', bi, bj, bk) AS k, min(vid) AS vid, arg_min(chunk_key, vid) AS chunk_key FROM binned {join} WHERE level = 0 GROUP BY ALL) m ON m.dataset_id = b.dataset_id AND m.k = b.k)"""
 
 
-@query(w(_LIVE, _BINS.format(f=0.5), _STEPS, _SURVIVE, _UP.format(join="SEMI JOIN survive USING (dataset_id, oid)")) + "SELECT * FROM up1")
-def cross_level_plus1(spark, d):
-    """Without the datasets that have no object, as its SQL; ``cross_level_implicit`` has them."""
-    fine = _binned(spark, d, 0.5).filter("level = 0").withColumn("cell", points.key())
-    return coarsen.cross_level(fine, _survivors(spark, d), implicit=False)
-
-
 _KEEP = """JOIN (SELECT vid AS kept FROM placed WHERE level = 0 AND ((dataset_id, oid) IN (SELECT (dataset_id, oid) FROM survive)
     OR dataset_id NOT IN (SELECT dataset_id FROM placed WHERE level = 0 AND oid IS NOT NULL))) ON kept = vid"""
 
 
 @query(w(_LIVE, _BINS.format(f=0.5), _STEPS, _SURVIVE, _UP.format(join=_KEEP)) + "SELECT * FROM up1")
-def cross_level_implicit(spark, d):
+def cross_level_plus1(spark, d):
     fine = _binned(spark, d, 0.5).filter("level = 0").withColumn("cell", points.key())
     return coarsen.cross_level(fine, _survivors(spark, d))
 
@@ -687,6 +669,15 @@ def random_sample(spark, d):
     return select.random(o, 0.25, ["dataset_id"], seed=11)
 
 
+@query(w(_LIVE) + """SELECT dataset_id, CAST(greatest(1, round_even(count(*) * 0.25, 0)) AS BIGINT) AS chosen, CAST(greatest(1, round_even(count(*) * 0.25, 0)) AS BIGINT) AS known
+    FROM (SELECT DISTINCT dataset_id, oid FROM lines WHERE level = 0) GROUP BY 1""")
+def random_sample_counts(spark, d):
+    """How many objects ``random_sample`` takes, and how many of them are objects."""
+    o = _lines(spark, d).filter("level = 0").select("dataset_id", "oid").distinct().withColumn("_k", F.lit(1))
+    s = random_sample(spark, d).select(F.col("dataset_id").alias("dataset_id"), F.col("oid").alias("oid")).join(o, ["dataset_id", "oid"], "left")
+    return s.groupBy("dataset_id").agg(F.count_distinct("oid").alias("chosen"), F.count("_k").alias("known"))
+
+
 @query(w(_LIVE) + "SELECT dataset_id, count(*) AS n, CAST(greatest(1, round_even(count(*) * 0.25, 0)) AS BIGINT) AS k FROM (SELECT DISTINCT dataset_id, oid FROM lines WHERE level = 0) GROUP BY 1")
 def sparsity_count(spark, d):
     o = _lines(spark, d).filter("level = 0").select("dataset_id", "oid").distinct()
@@ -734,21 +725,12 @@ def rebin(spark, d):
     return b.select("dataset_id", "level", points.key().alias("chunk_key"), grid.chunk_key([F.col(c) for c in coarsen.BIN]).alias("bin_key"), "n")
 
 
-@query(w(_LIVE) + """SELECT vid, CAST(floor((x - bounds_min[1]) / (bounds_max[1] - bounds_min[1]) * 2047 + 0.5) AS BIGINT) AS qx, CAST(floor((y - bounds_min[2]) / (bounds_max[2] - bounds_min[2]) * 2047 + 0.5) AS BIGINT) AS qy
-    FROM placed WHERE bounds_max IS NOT NULL""")
-def quantise(spark, d):
-    """x and y of the datasets that have bounds, as its SQL; ``quantise_axes`` takes all axes of all datasets."""
-    r = table(spark, d, "root_metadata").filter("bounds_max IS NOT NULL").select("dataset_id", *[F.get(f"bounds_{m}", F.lit(i)).alias(f"{m}{i}") for m in ("min", "max") for i in range(2)])
-    p = _placed(spark, d).join(r, "dataset_id")
-    return p.select("vid", *[encode.quantise(F.col(a), F.col(f"min{i}"), F.col(f"max{i}"), 11).alias(f"q{a}") for i, a in enumerate("xy")])
-
-
 @query(w(_LIVE, """ranges AS (SELECT dataset_id, any_value(bounds_min IS NULL OR bounds_max IS NULL) AS own, any_value(bounds_min) AS b, any_value(bounds_max) AS t, """
          + ", ".join(f"min({a}) AS min_{a}, max({a}) AS max_{a}" for a in "xyz") + " FROM placed GROUP BY 1)", "edges AS (SELECT dataset_id, "
          + ", ".join(f"CASE WHEN own THEN min_{a} ELSE b[{i}] END AS l{a}, CASE WHEN own THEN max_{a} ELSE t[{i}] END AS h{a}" for i, a in enumerate("xyz", 1)) + " FROM ranges)")
        + "SELECT vid, " + ", ".join(f"CASE WHEN {a} IS NOT NULL THEN CASE WHEN h{a} > l{a} THEN CAST(floor(({a} - l{a}) / (h{a} - l{a}) * 2047 + 0.5) AS BIGINT) ELSE 0 END END AS q{a}" for a in "xyz")
        + " FROM placed JOIN edges USING (dataset_id)")
-def quantise_axes(spark, d):
+def quantise(spark, d):
     p = _placed(spark, d)
     p = p.join(encode.axis_ranges(p, table(spark, d, "root_metadata")), "dataset_id")
     q = lambda a: F.when(F.col(a).isNotNull(), encode.quantise(F.col(a), F.col(f"lo_{a}"), F.col(f"hi_{a}"), 11))
@@ -846,24 +828,7 @@ def validate_conformance(spark, d):
     return validate.conformance(table(spark, d, "root_metadata"), table(spark, d, "vertices"), table(spark, d, "links"))
 
 
-@query(w(_LIVE) + """SELECT dataset_id, round(power(greatest(max(x) - min(x), 1e-9) * greatest(max(y) - min(y), 1e-9) * greatest(max(z) - min(z), 1e-9) / greatest(least(count(*) / 4.0, count(*)), 1), 1.0 / 3), 4) AS bin_size
-    FROM placed WHERE z IS NOT NULL GROUP BY 1""")
-def bin_estimate(spark, d):
-    g = _placed(spark, d).filter("z IS NOT NULL").groupBy("dataset_id").agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(f"s{a}") for a in "xyz"])
-    return g.select("dataset_id", F.round(coarsen.bin_estimate(F.col("n"), [F.col(f"s{a}") for a in "xyz"], F.col("n") / 4), 4).alias("bin_size"))
-
-
-@query("""SELECT label, array_to_string(list_transform(c, lambda v: CAST(v AS BIGINT)), '.') AS bin_key, count(*) AS n FROM (SELECT label, list_transform(embedding[1:6], lambda v: floor(CAST(v AS DOUBLE) / 0.25)) AS c FROM embeddings) GROUP BY 1, 2""")
-def cells_high_d(spark, d):
-    """Over the first six axes only, as its SQL; ``cells_all_axes`` takes them all."""
-    return _vector_cells(table(spark, d, "embeddings"), F.slice("embedding", 1, 6))
-
-
 @query("""SELECT label, array_to_string(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) / 0.25) AS BIGINT)), '.') AS bin_key, count(*) AS n FROM embeddings GROUP BY 1, 2""")
-def cells_all_axes(spark, d):
-    return _vector_cells(table(spark, d, "embeddings"), F.col("embedding"))
-
-
-def _vector_cells(e: DataFrame, axes: Column) -> DataFrame:
-    key = F.concat_ws(".", F.transform(axes, lambda v: F.floor(v.cast("double") / 0.25).cast("string")))
-    return e.groupBy("label", key.alias("bin_key")).agg(F.count("*").alias("n"))
+def cells_high_d(spark, d):
+    key = F.concat_ws(".", F.transform("embedding", lambda v: F.floor(v.cast("double") / 0.25).cast("string")))
+    return table(spark, d, "embeddings").groupBy("label", key.alias("bin_key")).agg(F.count("*").alias("n"))

@@ -1,10 +1,9 @@
-"""Queries that do the whole job where an older one, bound to its SQL, does a part of it."""
+"""Queries over whole tables: all axes, all levels, all datasets."""
 
 import __spark_entry__ as entry
 from conftest import rows
 from pyspark.sql import functions as F
 
-from orrery.llm import packing
 from orrery.operators import coarsen, encode, hierarchy, points
 from orrery.sources.store import GeometryStore
 
@@ -16,7 +15,7 @@ def put(spark, d, name, data, schema):
 def test_cells_all_axes(spark, tmp_path):
     a = [0.1] * 64
     put(spark, tmp_path, "embeddings", [(1, a), (1, a[:63] + [0.9]), (1, a)], "label int, embedding array<float>")
-    assert sorted(r["n"] for r in entry.queries()["cells_all_axes"](spark, str(tmp_path)).collect()) == [1, 2]
+    assert sorted(r["n"] for r in entry.queries()["cells_high_d"](spark, str(tmp_path)).collect()) == [1, 2]
 
 
 def test_quantise_takes_all_axes_and_datasets(spark):
@@ -24,7 +23,7 @@ def test_quantise_takes_all_axes_and_datasets(spark):
     r = spark.createDataFrame([(1, [0.0] * 3, [10.0] * 3), (2, [0.0] * 2, None)], "dataset_id int, bounds_min array<double>, bounds_max array<double>")
     assert rows(encode.axis_ranges(p, r)) == [(1, 0.0, 10.0, 0.0, 10.0, 0.0, 10.0), (2, -1.0, 3.0, 0.0, 4.0, None, None)]
     d = "/root/testdata/sf0.001"
-    q = entry.queries()["quantise_axes"](spark, d)
+    q = entry.queries()["quantise"](spark, d)
     placed = entry.queries()["local_index"](spark, d)
     assert q.count() == placed.count()
     assert q.join(placed, "vid").filter("(qz IS NULL) != (dataset_id = 3)").count() == 0
@@ -56,7 +55,7 @@ def test_two_axes_have_neighbours(spark):
 
 def test_queries_of_cells_hold_two_axes(spark):
     for name in ("neighbours", "neighbours_occupied", "morton", "morton_roundtrip", "gray_code", "bins_to_chunk", "fragment_index", "bin_estimate"):
-        assert entry.queries()[f"{name}_all"](spark, "/root/testdata/sf0.001").filter("dataset_id = 3").count() > 0
+        assert entry.queries()[name](spark, "/root/testdata/sf0.001").filter("dataset_id = 3").count() > 0
 
 
 def test_descendants_below_a_cycle(spark):
@@ -69,20 +68,10 @@ def test_descendants_below_a_cycle(spark):
     assert rows(pairs) == [(1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 4), (5, 6)]
 
 
-def test_reads_and_rebin_hold_no_ids(spark, tmp_path):
+def test_rebin_holds_no_ids(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     q = entry.queries()
-    for part in ("read_by_group", "read_by_object"):
-        assert q[f"{part}_all"](spark, d).count() > q[part](spark, d).count()
     for name in ("vertices", "root_metadata"):
         t = spark.read.parquet(f"{d}/{name}.parquet")
         t.withColumn("dataset_id", F.col("dataset_id") + 100).write.parquet(f"{tmp_path}/{name}.parquet")
     assert q["rebin"](spark, str(tmp_path)).count() == q["rebin"](spark, d).count() > 0
-
-
-def test_each_capacity_ends_its_own_rounds(spark):
-    items = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(51).alias("n"))
-    containers = spark.createDataFrame([("short", 100), ("long", 10000)], "container_name string, capacity int")
-    out = packing.pack(items, containers, rows=64).groupBy("container_name").agg(F.count_distinct("container_id").alias("n"), F.count("*").alias("m"))
-    got = {r[0]: (r[1], r[2]) for r in out.collect()}
-    assert got["short"] == (2000, 2000) and got["long"][1] == 2000 and got["long"][0] < 20, got
