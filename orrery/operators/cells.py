@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from orrery.functions.grid import chunk_key, finite, with_cells
 from orrery.operators import skew
+from orrery.plans.staging import stage
 
 KEYS = ["dataset_id", "cx", "cy", "cz"]
 BY = ["vid", "file_id", "written_at"]
+FLAT = -(1 << 62)  #: stands for the third index of a cell of two axes
 
 
 def level0_cells(vertices: DataFrame, root: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def cell_stats(vertices: DataFrame, root: DataFrame) -> DataFrame:
     """
     src = vertices.select("dataset_id", "level", "x", "y", "z", *BY)
     rows = level0_cells(src, root).withColumns({a: F.when(finite(F.col(a)) & F.col(f"c{a}").isNotNull(), F.col(a).cast("double") + F.lit(0.0)) for a in "xyz"})
-    rows = rows.select(*KEYS, "x", "y", "z", *BY)
+    rows = rows.withColumn("cz", F.coalesce("cz", F.lit(FLAT))).select(*KEYS, "x", "y", "z", *BY)  # null keys do not join
     by = [F.col(c) for c in BY]
     plan = skew.estimate(rows, KEYS)
     step = lambda a: F.round(F.col(a) * F.lit(float(1 << 20))).cast("decimal(28,0)")
@@ -47,11 +49,11 @@ def cell_stats(vertices: DataFrame, root: DataFrame) -> DataFrame:
         partial |= {f"min_{a}": F.min(a), f"max_{a}": F.max(a), f"s_{a}": F.sum(step(a))}
         merge |= {f"min_{a}": F.min(f"min_{a}"), f"max_{a}": F.max(f"max_{a}"), f"s_{a}": F.sum(f"s_{a}")}
     per = skew.aggregate(rows, KEYS, partial, merge, by, plan)
-    per = per.withColumns({f"centre_{a}": F.col(f"s_{a}").cast("double") / (F.col("n") * F.lit(float(1 << 20))) for a in "xyz"})
-    fill = lambda df: df.withColumn("cz", F.coalesce("cz", F.lit(-(1 << 62))))  # noqa: E731  (null keys do not join)
-    matched = skew.join(fill(rows), fill(per.select(*KEYS, *[f"centre_{a}" for a in "xyz"])), KEYS, skew.estimate(fill(rows), KEYS), by)
+    centre = {f"centre_{a}": F.col(f"s_{a}").cast("double") / (F.col("n") * F.lit(float(1 << 20))) for a in "xyz"}
+    per = stage(per.withColumns(centre).drop("s_x", "s_y", "s_z"), "cells")
+    matched = skew.join(rows, per.select(*KEYS, *centre), KEYS, plan, by)
     d2 = sum((F.coalesce(F.pow(F.col(a) - F.col(f"centre_{a}"), 2), F.lit(0.0)) for a in "xyz"), F.lit(0.0))
     far = matched.groupBy("_task", "_shard", *KEYS).agg(F.max(F.sqrt(d2)).alias("r")).groupBy(*KEYS).agg(F.max("r").alias("radius"))
-    out = fill(per).join(far, KEYS)
-    key = F.when(F.col("cz") == -(1 << 62), chunk_key([F.col("cx"), F.col("cy")])).otherwise(chunk_key([F.col(c) for c in ("cx", "cy", "cz")]))
+    out = per.join(far, KEYS)
+    key = F.when(F.col("cz") == FLAT, chunk_key([F.col("cx"), F.col("cy")])).otherwise(chunk_key([F.col(c) for c in ("cx", "cy", "cz")]))
     return out.select("dataset_id", key.alias("chunk_key"), "n", *[f"{p}_{a}" for a in "xyz" for p in ("min", "max", "centre")], "radius")

@@ -20,10 +20,10 @@ def with_bins(points: DataFrame, root: DataFrame, factor: float) -> DataFrame:
     return out.withColumns({n: b(i, a) for i, (n, a) in enumerate(zip(BIN, "xyz"))}).drop("_cs")
 
 
-def match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys of which some may be null on both sides; the right keys drop out."""
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which some may be null on both sides; the right keys drop out."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    return left.join(r, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]).drop(*[f"_r_{k}" for k in keys])
+    return left.join(r, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how).drop(*[f"_r_{k}" for k in keys])
 
 
 def metanodes(binned: DataFrame, keys: Sequence[str] = ("dataset_id", "level"), value: str = "intensity") -> DataFrame:

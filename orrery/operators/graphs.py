@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.grid import cell
+from orrery.operators import blocks
 
 
 def edge_cells(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -21,8 +22,7 @@ def edge_cells(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column, within: list[str]) -> DataFrame:
     """Edges with both ends among the kept nodes, with ends renumbered from 0 by id inside ``within``."""
-    w = Window.partitionBy(*within).orderBy("id")
-    kept = nodes.filter(keep).select(*within, "id", (F.row_number().over(w) - 1).cast("bigint").alias("i"))
+    kept = blocks.number(nodes.filter(keep).select(*within, "id"), within, "id", "i")
     a = kept.select(*within, F.col("id").alias("src"), F.col("i").alias("src_idx"))
     b = kept.select(*within, F.col("id").alias("dst"), F.col("i").alias("dst_idx"))
     return edges.join(a, [*within, "src"]).join(b, [*within, "dst"])
@@ -61,19 +61,6 @@ def cluster_faces(faces: DataFrame, meta: DataFrame) -> DataFrame:
     return f.filter(F.size("corners") == F.col("d")).groupBy("corners").agg(F.min("face_id").alias("face_id"))
 
 
-def preorder(paths: DataFrame) -> DataFrame:
-    """Depth-first order of trees from nodes(node_id, root, depth, path): roots by id, siblings by id.
-
-    Sorting root-to-node paths puts every node right after its parent's earlier subtrees, so one window per tree
-    replaces the recursion.  Only edges whose parent is not the node before are kept as links by the storage rule.
-    """
-    w = Window.partitionBy("root").orderBy("path")
-    out = paths.filter("path IS NOT NULL").withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
-    parent = F.when(F.col("depth") > 0, F.element_at("path", -2))
-    out = out.withColumn("parent", parent).withColumn("branch", F.coalesce(F.lag("node_id").over(w) != F.col("parent"), F.lit(False)))
-    return out.select("root", "node_id", "rank", "depth", "parent", "branch")
-
-
 def prune(trees: DataFrame, min_vertices: int, min_length: float = 0.0) -> DataFrame:
     """Nodes left after terminal branches shorter than ``min_vertices`` or ``min_length`` are removed, repeatedly.
 

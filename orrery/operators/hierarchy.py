@@ -17,13 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import blocks
 from orrery.plans.staging import stage
 
 ROWS = 1 << 17  #: nodes of a level-0 partition
 MERGED = 1 << 20  #: nodes that one task may solve at the levels above
+BATCH_IDS = 1 << 22  #: ids of the paths that leave a task in one batch
 SHRINK = 0.7  #: a level that stays above this part of the one below contracts by stars
 
 _EDGE = "node bigint, ptr bigint, w bigint, entry bigint, weight bigint"
@@ -58,53 +62,85 @@ def link_forest(node: np.ndarray, ptr: np.ndarray, has: np.ndarray, w: np.ndarra
     return up, np.where(ends, jump, -1), dist, np.where(ends, -1, label[jump]), on
 
 
-def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    got = [b for b in batches if len(b)]
-    return pd.concat(got, ignore_index=True).sort_values("node", ignore_index=True) if got else None
-
-
 def _ids(s: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     has = s.notna().to_numpy()
     return s.fillna(0).to_numpy().astype(np.int64), has
 
 
+def _numbers(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A nullable bigint column as values (0 where null) and where it is not null."""
+    return pc.fill_null(col, 0).to_numpy(), pc.is_valid(col).to_numpy()
+
+
+def _nullable(values: np.ndarray, has: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.int64(), mask=~has)
+
+
+def preorder(up: np.ndarray) -> np.ndarray:
+    """Nodes of a forest (index of the parent or -1, no cycles), each after its parent's earlier subtrees."""
+    n = len(up)
+    by_parent = np.argsort(up, kind="stable")
+    first = np.searchsorted(up[by_parent], np.arange(-1, n + 1))
+    stack, out = by_parent[: first[1]][::-1].tolist(), np.zeros(n, np.int64)
+    for i in range(n):
+        out[i] = k = stack.pop()
+        stack += by_parent[first[k + 1] : first[k + 2]][::-1].tolist()
+    return out
+
+
+def _paths(up: np.ndarray, order: np.ndarray, pay: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(nodes, their paths) in batches of about BATCH_IDS ids: a path lies in one buffer that a walk in preorder overwrites."""
+    starts, flat = pay.offsets.to_numpy(), pay.values.to_numpy()
+    size = np.diff(starts)
+    longest, end = 0, np.zeros(len(up), np.int64)
+    for k in order:
+        end[k] = size[k] + (end[up[k]] if up[k] >= 0 else 0)
+        longest = max(longest, end[k])
+    buffer, lo = np.zeros(longest, np.int64), 0
+    while lo < len(order):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(end[order[lo : lo + (1 << 17)]]), BATCH_IDS)))
+        part, out = order[lo:hi], []
+        for k in part:
+            buffer[end[k] - size[k] : end[k]] = flat[starts[k] : starts[k + 1]]
+            out.append(buffer[: end[k]].copy())
+        offsets = np.concatenate([[0], np.cumsum(end[part])]).astype(np.int32)
+        yield part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+        lo = hi
+
+
 def _solver(paths: bool):
-    """The mapInPandas function that solves one partition; nullable ids travel as pandas Int64."""
+    """The mapInArrow function that solves one partition; its output leaves in bounded batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pdf = _whole(batches)
-        if pdf is None:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        node = pdf["node"].to_numpy().astype(np.int64)
-        ptr, has = _ids(pdf["ptr"])
-        w = pdf["w"].to_numpy().astype(np.int64)
+        t = pa.Table.from_batches(got).sort_by("node")
+        node = t.column("node").to_numpy()
+        ptr, has = _numbers(t.column("ptr"))
+        w = t.column("w").to_numpy()
         up, top, dist, label, on = link_forest(node, ptr, has, w)
         ends = top >= 0
-        t = np.where(ends, top, 0)
-        leaves = ends & has[t]
-        out = pdf.assign(
-            bucket=TaskContext.get().partitionId(),
-            top=np.where(ends, node[t], label),
-            dist=np.where(ends, dist, 0),
-            exit=pd.array(np.where(leaves, ptr[t], 0), "Int64"),
-            exit_w=np.where(leaves, w[t], 0),
-            cyc=pd.array(np.where(ends, 0, label), "Int64"),
-            is_on=on,
-        )
-        out.loc[~leaves, "exit"] = pd.NA
-        out.loc[ends, "cyc"] = pd.NA
-        for c in ("ptr", "entry"):
-            out[c] = out[c].astype("Int64")
-        if paths:
-            acc: list = [None] * len(node)
-            pay = pdf["pay"].tolist()
-            order = np.argsort(dist, kind="stable")  # parents come before children: weights are positive
-            for k in order[ends[order]]:
-                acc[k] = list(pay[k]) if up[k] < 0 else acc[up[k]] + list(pay[k])
-            out["acc"] = acc
-        yield out
+        h = np.where(ends, top, 0)
+        leaves = ends & has[h]
+        made = {
+            "bucket": pa.array(np.full(len(node), TaskContext.get().partitionId()), pa.int64()), "top": pa.array(np.where(ends, node[h], label)),
+            "dist": pa.array(np.where(ends, dist, 0)), "exit": _nullable(ptr[h], leaves), "exit_w": pa.array(np.where(leaves, w[h], 0)),
+            "cyc": _nullable(label, ~ends), "is_on": pa.array(on),
+        }
+        for name, col in made.items():
+            t = t.append_column(name, col)
+        if not paths:
+            yield from t.to_batches(1 << 16)
+            return
+        order = preorder(np.where(ends, up, -1))  # nodes that lead to a cycle have no path
+        pay = t.column("pay").combine_chunks()
+        for part, acc in _paths(np.where(ends, up, -1), order[ends[order]], pay):
+            yield from t.take(pa.array(part)).append_column("acc", acc).combine_chunks().to_batches()
+        rest = np.flatnonzero(~ends)
+        yield from t.take(pa.array(rest)).append_column("acc", pa.nulls(len(rest), pa.list_(pa.int64()))).to_batches(1 << 16)
 
     return run
 
@@ -115,7 +151,7 @@ def _solve(edges: DataFrame, parts: int, paths: bool) -> DataFrame:
     spread = edges.select(*cols).repartitionByRange(parts, "node") if parts > 1 else edges.select(*cols).repartition(1)
     if paths:
         schema = schema.replace(_EDGE, _EDGE + ", pay array<bigint>")
-    return spread.mapInPandas(_solver(paths), schema)
+    return spread.mapInArrow(_solver(paths), schema)
 
 
 def _stars(edges: DataFrame, level: int, paths: bool) -> DataFrame:
@@ -156,14 +192,15 @@ def build(links: DataFrame, paths: bool = False, rows: int = ROWS, merged: int =
 
     A null or -1 parent makes a root; a parent without a row of its own becomes a node, the top of its tree.  Rows with a null
     node are left out; copies count once, and of several parents of a node the smallest is taken.  With ``paths`` the
-    levels also carry the skipped paths.
+    levels also carry the skipped paths.  A column ``w`` holds positive distances to the parents, else they are 1.
     """
-    rows_ = links.filter("node IS NOT NULL").select("node", F.when(F.col("parent") != -1, F.col("parent")).alias("ptr"))
-    tops = rows_.filter("ptr IS NOT NULL").select(F.col("ptr").alias("node"), F.lit(None).cast("bigint").alias("ptr"))
-    nodes = rows_.unionByName(tops).groupBy("node").agg(F.min("ptr").alias("ptr"))
+    step = F.col("w") if "w" in links.columns else F.lit(1)
+    rows_ = links.filter("node IS NOT NULL").select("node", F.when(F.col("parent") != -1, F.col("parent")).alias("ptr"), step.cast("bigint").alias("w"))
+    tops = rows_.filter("ptr IS NOT NULL").select(F.col("ptr").alias("node"), F.lit(None).cast("bigint").alias("ptr"), F.lit(1).cast("bigint").alias("w"))
+    nodes = rows_.unionByName(tops).groupBy("node").agg(F.min("ptr").alias("ptr"), F.max("w").alias("w"))
     nothing = F.lit(None).cast("bigint")
     edges = nodes.select(
-        F.col("node").cast("bigint").alias("node"), F.col("ptr").cast("bigint").alias("ptr"), F.lit(1).cast("bigint").alias("w"),
+        F.col("node").cast("bigint").alias("node"), F.col("ptr").cast("bigint").alias("ptr"), "w",
         nothing.alias("entry"), F.lit(1).cast("bigint").alias("weight"), *([F.array(F.col("node").cast("bigint")).alias("pay")] if paths else []),
     )
     edges = stage(edges, "links")
@@ -258,6 +295,45 @@ def _subtrees(forest: Forest) -> DataFrame:
     return done
 
 
+def resolve(forest: Forest) -> DataFrame:
+    """(node, root, depth[, acc]): where the chain of each node ends and the distance to it, with the ids between them.
+
+    A chain into a cycle ends at the smallest node of the cycle in the contracted graph.
+    """
+    above, ids = None, F.array().cast("array<bigint>")
+    for i in range(len(forest.levels) - 1, -1, -1):
+        s, root, depth, acc = forest.levels[i], F.col("top"), F.col("dist"), F.col("acc") if forest.paths else None
+        if above is not None:
+            up = above.select(F.col("node").alias("top"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), *([F.col("acc").alias("_acc")] if forest.paths else []))
+            s, root, depth = s.join(up, "top", "left"), F.coalesce("_root", "top"), F.col("dist") + F.coalesce("_depth", F.lit(0))
+            acc = F.concat(F.coalesce("_acc", ids), "acc") if forest.paths else None
+        out = s.select("node", root.alias("root"), depth.alias("depth"), *([acc.alias("acc")] if forest.paths else []))
+        above = out if i == 0 else stage(out, "resolved")
+    return above
+
+
+def ranks(links: DataFrame, rows: int = ROWS, merged: int = MERGED) -> DataFrame:
+    """(node_id, parent, root, depth, rank, last, branch) of every node that is on no cycle and below none.
+
+    ``rank`` is the node's place in its tree, depth first, siblings by id; the node's descendants are the nodes of its
+    tree with ranks above it up to ``last``, so all descendants of all nodes take one row a node.  ``branch`` tells that
+    the node before it is not its parent.  A node lies behind its parent by one and the subtrees of its earlier
+    siblings: with these distances as weights, a second forest sums the ranks, so no task ever holds a whole tree.
+    """
+    forest = build(links, rows=rows, merged=merged)
+    below = stage(forest.levels[0].select("node", F.col("ptr").alias("parent")).join(_subtrees(forest), "node"), "sizes")
+    off = blocks.before(below.filter("parent IS NOT NULL"), ["parent"], "node", "subtree", "_before")
+    off = stage(off.select("node", "parent", (F.col("_before") + 1).alias("w")), "offsets")
+    tops = below.filter("parent IS NULL").select("node", "parent", F.lit(1).cast("bigint").alias("w"))
+    place = resolve(build(off.unionByName(tops), rows=rows, merged=merged)).select("node", F.col("depth").alias("rank"))
+    ring = cycles(forest).select(F.col("node").alias("root"))  # where chains into a cycle end
+    trees = resolve(forest).join(ring, "root", "left_anti")
+    out = trees.join(below, "node").join(place, "node").join(off.select("node", "w"), "node", "left")
+    return out.select(
+        F.col("node").alias("node_id"), "parent", "root", "depth", "rank", (F.col("rank") + F.col("subtree") - 1).alias("last"), F.coalesce(F.col("w") > 1, F.lit(False)).alias("branch")
+    )
+
+
 def nodes(forest: Forest, rings: DataFrame | None = None) -> DataFrame:
     """(node_id, root, depth, n_descendants, path, on_cycle) of every node.
 
@@ -267,19 +343,7 @@ def nodes(forest: Forest, rings: DataFrame | None = None) -> DataFrame:
     """
     if not forest.paths:
         raise ValueError("build the forest with paths")
-    above = None
-    for i in range(len(forest.levels) - 1, -1, -1):
-        s = forest.levels[i]
-        if above is not None:
-            s = s.join(above.select(F.col("node").alias("top"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("acc").alias("_acc")), "top", "left")
-        else:
-            nothing = {"_root": F.lit(None).cast("bigint"), "_depth": F.lit(None).cast("bigint"), "_acc": F.lit(None).cast("array<bigint>")}
-            s = s.withColumns(nothing)
-        out = s.select(
-            "node", F.coalesce("_root", "top").alias("root"), (F.col("dist") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            F.concat(F.coalesce("_acc", F.array().cast("array<bigint>")), "acc").alias("acc"),
-        )
-        above = out if i == 0 else stage(out, "resolved")
+    above = resolve(forest)
     on = (rings if rings is not None else cycles(forest)).withColumnRenamed("cycle_id", "_id")
     # a chain into a cycle ends at a label: the smallest node of the cycle in the contracted graph, itself on the cycle
     label = on.select(F.col("node").alias("root"), F.col("_id").alias("_in"))
@@ -291,17 +355,17 @@ def nodes(forest: Forest, rings: DataFrame | None = None) -> DataFrame:
     )
 
 
-def whole(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def whole(links: DataFrame, rows: int = ROWS, merged: int = MERGED) -> tuple[DataFrame, DataFrame]:
     """Nodes and (ancestor, descendant) pairs of links(node, parent), cycles and what hangs below them included.
 
     The first has (node_id, parent, root, cycle_id, depth, n_descendants, path, on_cycle).  Below a cycle, depth and path
     count from the cycle node that the chain enters, which is the root; cycle_id is the cycle's smallest node.  The
     descendants of a node on a cycle are all other nodes on the cycle and below it.
     """
-    rings = stage(cycles(build(links)), "rings")
+    rings = stage(cycles(build(links, rows=rows, merged=merged)), "rings")
     on = rings.select("node", F.lit(True).alias("_on"))
     cut = links.join(on, "node", "left").select("node", F.when(F.col("_on").isNull(), F.col("parent")).alias("parent"))
-    n = nodes(build(cut, paths=True), rings.limit(0)).drop("on_cycle")
+    n = nodes(build(cut, paths=True, rows=rows, merged=merged), rings.limit(0)).drop("on_cycle")
     own = links.groupBy(F.col("node").alias("node_id")).agg(F.min(F.when(F.col("parent") != -1, F.col("parent"))).alias("parent"))
     n = n.join(rings.withColumnRenamed("node", "root"), "root", "left").join(own, "node_id", "left")
     n = stage(n.withColumn("on_cycle", F.col("cycle_id").isNotNull() & (F.col("depth") == 0)), "nodes")

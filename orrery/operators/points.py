@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.grid import chunk_key, in_box, in_box_cells, with_cells
+from orrery.operators import blocks
 
 CELL = ["dataset_id", "level", "cx", "cy", "cz"]
+SLOTS = 1 << 16  #: object slots that one row opens out to
 
 
 def live(vertices: DataFrame) -> DataFrame:
@@ -94,8 +96,7 @@ def grid_shape(bounds: DataFrame) -> DataFrame:
 
 def local_index(points: DataFrame) -> DataFrame:
     """Add ``local_idx``: the place of a vertex in its cell, from 0, by vid."""
-    w = Window.partitionBy(*CELL).orderBy("vid")
-    return points.withColumn("local_idx", (F.row_number().over(w) - 1).cast("bigint"))
+    return blocks.number(points, CELL, "vid", "local_idx")
 
 
 def cell_offsets(points: DataFrame) -> DataFrame:
@@ -143,8 +144,11 @@ def manifest(points: DataFrame) -> DataFrame:
 def dense_slots(objects: DataFrame) -> DataFrame:
     """One slot per oid from the dataset's least to its greatest; gaps have present = false and no fragments."""
     have = objects.filter("oid IS NOT NULL AND level = 0").groupBy("dataset_id", "oid").agg(F.max(F.coalesce(F.size("manifest"), F.lit(0))).alias("n"))
+    block = lambda c: F.floor(F.col(c) / F.lit(SLOTS)).cast("bigint")
     span = have.groupBy("dataset_id").agg(F.min("oid").alias("lo"), F.max("oid").alias("hi"))
-    slots = span.select("dataset_id", F.explode(F.sequence("lo", "hi")).alias("oid"))
+    b = span.select("dataset_id", "lo", "hi", F.explode(F.sequence(block("lo"), block("hi"))).alias("b"))
+    ends = F.sequence(F.greatest("lo", F.col("b") * SLOTS), F.least("hi", F.col("b") * SLOTS + (SLOTS - 1)))
+    slots = b.repartition("dataset_id", "b").select("dataset_id", F.explode(ends).alias("oid"))
     out = slots.join(have, ["dataset_id", "oid"], "left")
     return out.select("dataset_id", "oid", F.col("n").isNotNull().alias("present"), F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("n_fragments"))
 
@@ -208,5 +212,5 @@ def out_of_bounds(points: DataFrame, root: DataFrame, policy: str) -> DataFrame:
 def append_ids(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Ids for appended vertices: one new object each, numbered after the dataset's greatest oid in order of vid."""
     top = existing.groupBy("dataset_id").agg(F.coalesce(F.max("oid"), F.lit(-1)).alias("top"))
-    w = Window.partitionBy("dataset_id").orderBy("vid")
-    return new.join(top, "dataset_id", "left").select("dataset_id", "vid", (F.coalesce("top", F.lit(-1)) + F.row_number().over(w)).alias("new_oid"))
+    place = blocks.number(new.select("dataset_id", "vid"), ["dataset_id"], "vid", "_i")
+    return place.join(top, "dataset_id", "left").select("dataset_id", "vid", (F.coalesce("top", F.lit(-1)) + F.col("_i") + 1).alias("new_oid"))

@@ -522,7 +522,7 @@ _TREE = """
     coalesce(lag(node) OVER w <> CASE WHEN depth > 0 THEN path[-2] END, false) AS branch FROM down WINDOW w AS (PARTITION BY root ORDER BY path)""")
 def tree_preorder(spark, d):
     l = table(spark, d, "links").select(F.col("child_vid").alias("node"), F.col("parent_vid").alias("parent"))
-    return graphs.preorder(hierarchy.nodes(hierarchy.build(l, paths=True)))
+    return hierarchy.ranks(l).drop("last")
 
 
 @query()

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import cells, compaction, hierarchy, references
+from orrery.plans import staging
 from orrery.sources.tables import table
 
+SMALL_TARGET = 16 << 10
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return cells.hot_cells(table(spark, d, "vertices"), table(spark, d, "root_metadata"))
@@ -19,15 +22,26 @@ def p1_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.found(table(spark, d, "vertices"), table(spark, d, "shard_index"))
+    return compaction.found(table(spark, d, "vertices"), table(spark, d, "shard_index")).select("file_id", "issue")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Issues by group, with a target so small that there are many groups at any size."""
+    out = compaction.found(table(spark, d, "vertices"), table(spark, d, "shard_index"), SMALL_TARGET)
+    return out.groupBy("dataset_id", "level", "group_no", "issue").agg(F.count("*").alias("n_files"))
 
 
 def p3_plan(spark: SparkSession, d: str) -> DataFrame:
     return compaction.compaction_plan(table(spark, d, "vertices"), table(spark, d, "shard_index"))
 
 
+def p3_plan_many(spark: SparkSession, d: str) -> DataFrame:
+    """With a target so small that there are many groups at any size."""
+    return compaction.compaction_plan(table(spark, d, "vertices"), table(spark, d, "shard_index"), SMALL_TARGET)
+
+
 def p3_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.compact(table(spark, d, "vertices"), table(spark, d, "shard_index"))
+    return compaction.compact(table(spark, d, "vertices"), table(spark, d, "shard_index"), staging.new_path(spark, "compacted"))
 
 
 def _links(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -51,6 +65,18 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("path", F.when(F.col("path").isNotNull(), F.concat_ws("/", F.col("path").cast("array<string>"))))
 
 
+def p4_merged(spark: SparkSession, d: str) -> DataFrame:
+    """As p4_nodes, with partitions so small that forests are merged over several levels at any size."""
+    parts = [hierarchy.nodes(hierarchy.build(links, paths=True, rows=1024, merged=1024)).withColumn("source", F.lit(name)) for name, links in _links(spark, d).items()]
+    return parts[0].unionByName(parts[1]).withColumn("path", F.when(F.col("path").isNotNull(), F.concat_ws("/", F.col("path").cast("array<string>"))))
+
+
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Descendants as intervals: those of a node have ranks above its own, up to last, in its tree."""
+    parts = [hierarchy.ranks(links).withColumn("source", F.lit(name)) for name, links in _links(spark, d).items()]
+    return parts[0].unionByName(parts[1]).select("source", "node_id", "root", "rank", "last")
+
+
 def p4_whole(spark: SparkSession, d: str) -> DataFrame:
     parts = [hierarchy.whole(links)[0].withColumn("source", F.lit(name)) for name, links in _links(spark, d).items()]
     return parts[0].unionByName(parts[1]).withColumn("path", F.concat_ws("/", F.col("path").cast("array<string>")))
@@ -70,7 +96,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_cells, p3_found, p3_plan, p3_rewrite, p4_found, p4_nodes, p4_whole, p4_pairs, p5_found, p5_report)
+    f.__name__: f for f in (p1_found, p1_cells, p3_found, p3_report, p3_plan, p3_plan_many, p3_rewrite, p4_found, p4_nodes, p4_merged, p4_descendants, p4_whole, p4_pairs, p5_found, p5_report)
 }
 
 _CELLS = """
@@ -83,18 +109,24 @@ _CELLS = """
   WHERE x IS NOT NULL AND y IS NOT NULL AND isfinite(x) AND isfinite(y) AND (ndim = 2 OR (z IS NOT NULL AND isfinite(z)))
 """
 
-_MANIFEST = """
+def _manifest(target: int) -> str:
+    """The plan, with every file that is held or listed; files without rows take no bytes."""
+    return f"""
   held AS (SELECT file_id, min(dataset_id) AS dataset_id, min(level) AS level, count(*) AS n_rows FROM vertices WHERE file_id IS NOT NULL GROUP BY 1),
   listed AS (SELECT file_id, min(dataset_id) AS dataset_id, min(level) AS level, min(n_records) AS lo, max(n_records) AS hi,
                     max(nbytes) AS nbytes FROM shard_index WHERE file_id IS NOT NULL GROUP BY 1),
-  plan AS (SELECT file_id, dataset_id, level, n_rows, keep_rows, bytes,
-      CAST(floor(coalesce(sum(bytes) OVER (PARTITION BY dataset_id, level ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 134217728) AS BIGINT) AS group_no
-    FROM (SELECT file_id, coalesce(h.dataset_id, l.dataset_id) AS dataset_id, coalesce(h.level, l.level) AS level, n_rows,
-                 coalesce(k.keep_rows, 0) AS keep_rows, greatest(coalesce(nbytes, 16 * n_rows), 0) AS bytes
-          FROM held h LEFT JOIN listed l USING (file_id)
-          LEFT JOIN (SELECT file_id, count(*) AS keep_rows FROM (SELECT vid, min(file_id) AS file_id FROM vertices WHERE vid IS NOT NULL AND file_id IS NOT NULL GROUP BY 1) GROUP BY 1) k USING (file_id)))
+  first_file AS (SELECT vid, min(file_id) AS file_id FROM vertices WHERE vid IS NOT NULL AND file_id IS NOT NULL GROUP BY 1),
+  every AS (SELECT file_id, dataset_id, level, n_rows, keep_rows, bytes, lo, hi, listed,
+      CAST(floor(coalesce(sum(CASE WHEN n_rows > 0 THEN bytes ELSE 0 END) OVER (PARTITION BY dataset_id, level ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {target}) AS BIGINT) AS group_no
+    FROM (SELECT file_id, coalesce(h.dataset_id, l.dataset_id) AS dataset_id, coalesce(h.level, l.level) AS level, coalesce(n_rows, 0) AS n_rows, lo, hi, l.file_id IS NOT NULL AS listed,
+                 coalesce(k.keep_rows, 0) AS keep_rows, greatest(coalesce(nbytes, 16 * coalesce(n_rows, 0)), 0) AS bytes
+          FROM held h FULL JOIN listed l USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS keep_rows FROM first_file GROUP BY 1) k USING (file_id))),
+  plan AS (SELECT * FROM every WHERE n_rows > 0),
+  issues AS (SELECT DISTINCT file_id, 'repeat' AS issue FROM (SELECT file_id, min(file_id) OVER (PARTITION BY vid) AS f FROM vertices) WHERE file_id > f
+    UNION ALL SELECT file_id, CASE WHEN NOT listed THEN 'unlisted' WHEN n_rows = 0 THEN 'empty' ELSE 'count' END FROM every WHERE NOT listed OR n_rows = 0 OR lo <> n_rows OR hi <> n_rows)
 """
 
+
 _WALK = """
   up AS (SELECT source, node, min(CASE WHEN parent <> -1 THEN parent END) AS parent FROM (
            SELECT 'links' AS source, child_vid AS node, parent_vid AS parent FROM links
@@ -142,12 +174,12 @@ SQL = {
             FROM c JOIN s USING (dataset_id, chunk_key) GROUP BY 1, 2)
         SELECT s.* REPLACE (round(centre_x, 4) + 0.0 AS centre_x, round(centre_y, 4) + 0.0 AS centre_y, round(centre_z, 4) + 0.0 AS centre_z), round(radius, 4) AS radius
         FROM s JOIN r USING (dataset_id, chunk_key)""",
-    "p3_found": f"""WITH {_MANIFEST}
-        SELECT DISTINCT file_id, 'repeat' AS issue FROM (SELECT file_id, min(file_id) OVER (PARTITION BY vid) AS f FROM vertices) WHERE file_id > f
-        UNION ALL SELECT file_id, CASE WHEN l.file_id IS NULL THEN 'unlisted' WHEN h.file_id IS NULL THEN 'empty' ELSE 'count' END
-        FROM held h FULL JOIN listed l USING (file_id) WHERE l.file_id IS NULL OR h.file_id IS NULL OR lo <> n_rows OR hi <> n_rows""",
-    "p3_plan": f"WITH {_MANIFEST} SELECT file_id, dataset_id, level, group_no, n_rows, keep_rows, bytes FROM plan",
-    "p3_rewrite": f"""WITH {_MANIFEST} SELECT dataset_id, level, group_no, CAST(sum(keep_rows) AS BIGINT) AS planned, CAST(sum(keep_rows) AS BIGINT) AS written FROM plan GROUP BY 1, 2, 3""",
+    "p3_found": f"WITH {_manifest(128 << 20)} SELECT * FROM issues",
+    "p3_report": f"WITH {_manifest(SMALL_TARGET)} SELECT dataset_id, level, group_no, issue, count(*) AS n_files FROM issues JOIN every USING (file_id) GROUP BY ALL",
+    "p3_plan": f"WITH {_manifest(128 << 20)} SELECT file_id, dataset_id, level, group_no, n_rows, keep_rows, bytes FROM plan",
+    "p3_plan_many": f"WITH {_manifest(SMALL_TARGET)} SELECT file_id, dataset_id, level, group_no, n_rows, keep_rows, bytes FROM plan",
+    "p3_rewrite": f"""WITH {_manifest(128 << 20)} SELECT dataset_id, level, group_no, CAST(sum(n_rows) AS BIGINT) AS rows_in, CAST(sum(keep_rows) AS BIGINT) AS planned, CAST(sum(w) AS BIGINT) AS written
+        FROM plan JOIN (SELECT file_id, count(vid) AS w FROM plan LEFT JOIN first_file USING (file_id) GROUP BY 1) USING (file_id) GROUP BY 1, 2, 3""",
     "p4_found": f"""WITH RECURSIVE {_WALK},
         loose AS (SELECT source, node, parent FROM up WHERE NOT EXISTS (SELECT 1 FROM down d WHERE d.source = up.source AND d.node = up.node)),
         step AS (SELECT source, node AS start, parent AS at, 1 AS n FROM loose
@@ -166,6 +198,10 @@ SQL = {
         lead AS (SELECT s.source, s.start AS node, min(r.id) AS id FROM step s JOIN ring r ON r.source = s.source AND (r.node = s.at OR r.node = s.start) GROUP BY 1, 2)
         SELECT source, node AS node_id, root, CAST(depth AS BIGINT) AS depth, CAST(n AS BIGINT) AS n_descendants, path, false AS on_cycle FROM down JOIN below USING (source, node)
         UNION ALL SELECT source, l.node, l.id, NULL, NULL, NULL, r.node IS NOT NULL FROM lead l LEFT JOIN ring r USING (source, node)""",
+    "p4_descendants": f"""WITH RECURSIVE {_WALK}, walked AS (SELECT source, node, root, list_transform(string_split(path, '/'), lambda p: CAST(p AS BIGINT)) AS path FROM down),
+        below AS (SELECT source, a, count(*) AS n FROM (SELECT source, unnest(path) AS a FROM walked) GROUP BY 1, 2),
+        ranked AS (SELECT source, node, root, row_number() OVER (PARTITION BY source, root ORDER BY path) - 1 AS rank FROM walked)
+        SELECT r.source, r.node AS node_id, root, rank, CAST(rank + n - 1 AS BIGINT) AS last FROM ranked r JOIN below b ON b.source = r.source AND b.a = r.node""",
     "p4_whole": f"""WITH RECURSIVE {_WALK}, {_ABOVE},
         ring AS (SELECT source, node FROM above WHERE a = node),
         cyc AS (SELECT source, node, min(a) AS cycle_id FROM above SEMI JOIN ring USING (source, node) GROUP BY 1, 2),
@@ -180,3 +216,4 @@ SQL = {
     "p5_found": f"WITH cell_rows AS ({_CELLS}), {_REFS} SELECT ref_table, ref_id, pos, reason, period FROM broken WHERE reason IS NOT NULL",
     "p5_report": f"WITH cell_rows AS ({_CELLS}), {_REFS} SELECT ref_table, period, reason, count(*) AS n_broken FROM broken WHERE reason IS NOT NULL GROUP BY ALL",
 }
+SQL["p4_merged"] = SQL["p4_nodes"]

@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orrery.operators import graphs, hierarchy
+from orrery.operators import blocks, graphs, hierarchy
 
 
 def brute(links):
@@ -75,6 +76,13 @@ def test_against_brute_force(spark, kind, size):
     for n, c in below.items():
         r = got[n]
         assert (r["root"], r["depth"], r["path"], r["on_cycle"]) == (c, None, None, n in on), n
+    ranked = {r["node_id"]: r for r in hierarchy.ranks(spark.createDataFrame(links, "node bigint, parent bigint"), *size).collect()}
+    assert set(ranked) == set(tree)
+    for root in {t[0] for t in tree.values()}:
+        mine = sorted((n for n in tree if tree[n][0] == root), key=lambda n: tree[n][2])
+        assert [ranked[n]["rank"] for n in mine] == list(range(len(mine)))
+        for n in mine:
+            assert ranked[n]["last"] - ranked[n]["rank"] == sum(n in tree[m][2] for m in mine) - 1
 
 
 def test_empty_and_self_parent(spark):
@@ -109,9 +117,32 @@ def test_link_forest(links):
 
 def test_preorder_and_prune(spark):
     links = [(1, None), (2, 1), (3, 2), (4, 2), (5, 1), (6, 5), (7, 6), (8, 7)]
-    n = hierarchy.nodes(hierarchy.build(spark.createDataFrame(links, "node bigint, parent bigint"), paths=True))
-    got = sorted(graphs.preorder(n).collect(), key=lambda r: r["rank"])
+    got = sorted(hierarchy.ranks(spark.createDataFrame(links, "node bigint, parent bigint")).collect(), key=lambda r: r["rank"])
     assert [r["node_id"] for r in got] == [1, 2, 3, 4, 5, 6, 7, 8]
     assert [r["node_id"] for r in got if r["branch"]] == [4, 5]
     t = spark.createDataFrame([(1, a, b, float(a), 0.0, 0.0) for a, b in links], "tree bigint, node bigint, parent bigint, x double, y double, z double")
     assert [r[1] for r in rows(graphs.prune(t, 2))] == [1, 5, 6, 7, 8]  # 3 and 4 go, then 2, a branch of one vertex
+
+
+def test_a_deep_chain_leaves_in_bounded_batches():
+    n = 20_000
+    up = np.arange(-1, n - 1)
+    pay = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.arange(n)))
+    seen = 0
+    for part, acc in hierarchy._paths(up, hierarchy.preorder(up), pay):
+        assert len(acc.values) <= hierarchy.BATCH_IDS + n
+        assert acc.values.to_numpy()[-1] == part[-1]
+        seen += len(acc.values)
+    assert seen == n * (n + 1) // 2
+
+
+def test_numbers_inside_hot_groups(spark):
+    data = [(None if i % 7 == 0 else i % 2, i * 3 - 500, i) for i in range(400)]
+    df = spark.createDataFrame(data, "g int, id bigint, v int")
+    for block in (1, 64, 1 << 20):
+        got = {(r["g"], r["id"]): r for r in blocks.before(blocks.number(df, ["g"], "id", "i", block), ["g"], "id", "v", "s", block).collect()}
+        for g in (None, 0, 1):
+            mine = sorted((i, v) for h, i, v in data if h == g)
+            assert [got[g, i]["i"] for i, _ in mine] == list(range(len(mine)))
+            assert [got[g, i]["s"] for i, _ in mine] == [sum(v for _, v in mine[:k]) for k in range(len(mine))]
+    assert rows(blocks.number(df.limit(0), ["g"], "id", "i")) == []

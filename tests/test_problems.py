@@ -19,21 +19,23 @@ def root(spark):
     return spark.createDataFrame([(1, 3, [10.0, 10.0, 10.0], "a"), (3, 2, [5.0, 5.0], "flat")], ROOT)
 
 
-def test_pack_spreads_a_hot_bucket():
-    plan = skew.pack({0: 900, 1: 50, 2: 50}, 8, 4)
-    assert len(plan.placed[0]) >= 12 and set(plan.placed[0]) == {0, 1, 2, 3} and len(plan.placed[1]) == 1
+def test_pack_spreads_a_hot_key():
+    plan = skew.pack({7: 900}, [50, 50, 0], 4)
+    assert len(plan.heavy[7]) >= 12 and set(plan.heavy[7]) == {0, 1, 2, 3} and len(plan.light) == 3
     load = [0.0] * 4
-    for b, n in ((0, 900), (1, 50), (2, 50)):
-        for t in plan.placed[b]:
-            load[t] += n / len(plan.placed[b])
+    for t in plan.heavy[7]:
+        load[t] += 900 / len(plan.heavy[7])
+    for t, n in zip(plan.light, (50, 50, 0)):
+        load[t] += n
     assert max(load) <= 1.3 * min(load)
-    assert skew.pack({}, 4, 2).total == 0
+    assert skew.pack({}, [0, 0], 2).total == 0
 
 
 def test_hot_key_aggregate_and_join(spark):
     data = [(0 if i % 3 else i % 50, i, 1) for i in range(3000)]
     df = spark.createDataFrame(data, "k int, i int, clash int")
     plan = skew.estimate(df, ["k"], tasks=4)
+    assert len(plan.heavy) == 1 and plan.total == 3000
     got = skew.aggregate(df, ["k"], {"n": F.count("*"), "m": F.max("i")}, {"n": F.sum("n"), "m": F.max("m")}, [F.col("i")], plan)
     want = rows(df.groupBy("k").agg(F.count("*"), F.max("i")))
     assert rows(got) == want
@@ -42,6 +44,9 @@ def test_hot_key_aggregate_and_join(spark):
     assert rows(j.select("k", "i", "w")) == rows(df.join(right, "k").select("k", "i", "w"))
     spread = {r[0] for r in skew.sharded(df, ["k"], plan, [F.col("i")]).filter("k = 0").select("_task").distinct().collect()}
     assert len(spread) == 4
+    assert rows(skew.sharded(df, ["k"], plan, [F.col("i")]).filter("k > 0 AND _shard > 0")) == []  # light keys stay whole
+    none = df.withColumn("k", F.lit(None).cast("int"))
+    assert rows(skew.aggregate(none, ["k"], {"n": F.count("*")}, {"n": F.sum("n")}, [F.col("i")])) == [(None, 3000)]
 
 
 def test_cells(spark):
@@ -61,13 +66,27 @@ def test_compaction(spark, tmp_path):
     df = spark.createDataFrame(v, V)
     index = [(1, 0, 1, 48, 3), (1, 0, 1, 48, 3), (1, 0, 2, None, 4), (1, 0, 3, 48, None), (1, 0, 4, 48, 5), (1, 0, 7, 10, 0), (1, 0, 8, 10, 2)]
     s = spark.createDataFrame(index, "dataset_id int, level int, file_id bigint, nbytes bigint, n_records int")
-    assert rows(compaction.found(df, s)) == [(3, "repeat"), (4, "count"), (7, "empty"), (8, "empty"), (9, "repeat"), (9, "unlisted")]
+    assert rows(compaction.found(df, s).select("file_id", "issue")) == [(3, "repeat"), (4, "count"), (7, "empty"), (8, "empty"), (9, "repeat"), (9, "unlisted")]
     plan = {r["file_id"]: r for r in compaction.compaction_plan(df, s, 100).collect()}
     assert sorted(plan) == [1, 2, 3, 4, 9] and sum(r["keep_rows"] for r in plan.values()) == 12
     assert [plan[f]["group_no"] for f in (1, 2, 3, 4, 9)] == [0, 0, 1, 1, 2]
-    out = rows(compaction.compact(df, s, 100, str(tmp_path / "out")))
-    assert all(r[3] == r[4] for r in out) and sum(r[4] for r in out) == 12
+    out = rows(compaction.compact(df, s, str(tmp_path / "out"), 100))
+    assert all(r[4] == r[5] for r in out) and sum(r[5] for r in out) == 12 and sum(r[3] for r in out) == 15
+    assert spark.read.parquet(str(tmp_path / "out")).filter("vid = 0").select("file_id").collect()[0][0] == 1
     assert rows(compaction.found(df.limit(0), s.limit(0))) == []
+    assert rows(compaction.compact(df.limit(0), s.limit(0), str(tmp_path / "none"))) == []
+
+
+def test_compaction_loses_no_row_without_vid_or_file(spark, tmp_path):
+    v = [vertex(1, file=1), vertex(2, file=1), vertex(None, file=1), vertex(None, file=1), vertex(1, file=None), vertex(None, file=None)]
+    v += [vertex(100 + i, float(i), file=None) for i in range(40)] + [vertex(100, 0.0, file=None)]
+    df = spark.createDataFrame(v, V).withColumn("group", F.lit("clash"))
+    s = spark.createDataFrame([(1, 0, 1, 48, 4)], "dataset_id int, level int, file_id bigint, nbytes bigint, n_records int")
+    out = rows(compaction.compact(df, s, str(tmp_path / "out"), 100))
+    assert all(r[4] == r[5] for r in out) and len(out) > 3 and sum(r[3] for r in out) == len(v)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.filter("vid IS NULL").count() == 3 and got.filter("vid IS NOT NULL").count() == 42 == got.select("vid").distinct().count() - 1
+    assert rows(compaction.found(df, s).select("file_id", "issue")) == []
 
 
 def test_plan_blocks(spark):
