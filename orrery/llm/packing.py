@@ -1,13 +1,17 @@
 """Filling containers of fixed capacity: hierarchical residual packing.
 
-Each task packs its items best-fit, longest first, and emits the containers that are nearly full.  Underfull containers
-travel on as items: fewer and fewer tasks merge them, round by round, until one is left.  A task never holds more than
-``rows`` items, and rounds end when merging no longer pays, so no step gathers an unbounded set.  Items longer than the
-capacity are cut into full containers and a rest; nothing else is ever cut.
+The tasks are the leaves of a tree.  Each packs its items best-fit, longest first, and emits the containers that are
+nearly full.  Underfull containers travel on as items to the task above, where those of neighbouring tasks are packed
+again: as many neighbours meet as one task holds, level by level, until one task is left.  A task never holds more than
+``rows`` items: where even two neighbours hold more underfull containers, each passes on those with the most room and
+emits the fuller ones.  Every container_name climbs its own tree.  Items longer than the capacity are cut into full
+containers and a rest; nothing else is ever cut.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,9 +21,8 @@ from orrery.plans.staging import stage
 
 ROWS = 1 << 15  #: items that one task packs
 FULL = 0.99  #: containers filled to this part are emitted at once
-PAYS = 0.98  #: rounds go on, for each container_name, while its underfull containers fall below this part of their number
 
-_BIN = "container_name string, capacity int, size bigint, docs array<bigint>, pieces array<int>, sizes array<bigint>"
+_BIN = "container_name string, capacity int, part bigint, parts bigint, size bigint, climbs boolean, docs array<bigint>, pieces array<int>, sizes array<bigint>"
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -49,19 +52,26 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.assign(first=[d[0] for d in pdf["docs"]], piece=[p[0] for p in pdf["pieces"]]).sort_values(["first", "piece"], ignore_index=True)
-    capacity = int(pdf["capacity"].iloc[0])
-    docs, pieces, sizes = pdf["docs"].tolist(), pdf["pieces"].tolist(), pdf["sizes"].tolist()
-    whole, out = pdf["size"].to_numpy(), []
-    for b in best_fit(whole, capacity):
-        out.append((
-            int(whole[b].sum()), np.concatenate([docs[i] for i in b]), np.concatenate([pieces[i] for i in b]), np.concatenate([sizes[i] for i in b]),
-        ))
-    made = pd.DataFrame(out, columns=["size", "docs", "pieces", "sizes"])
-    made.insert(0, "capacity", np.int32(capacity))
-    made.insert(0, "container_name", pdf["container_name"].iloc[0])
-    return made
+def _packer(rows: int, full: float):
+    """applyInPandas on a task of the tree: its items as containers, with those marked that climb to the task above."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(first=[d[0] for d in pdf["docs"]], piece=[p[0] for p in pdf["pieces"]]).sort_values(["first", "piece"], ignore_index=True)
+        capacity, parts = int(pdf["capacity"].iloc[0]), int(pdf["parts"].iloc[0])
+        docs, pieces, sizes = pdf["docs"].tolist(), pdf["pieces"].tolist(), pdf["sizes"].tolist()
+        whole, out = pdf["size"].to_numpy(), []
+        for b in best_fit(whole, capacity):
+            out.append((
+                int(whole[b].sum()), np.concatenate([docs[i] for i in b]), np.concatenate([pieces[i] for i in b]), np.concatenate([sizes[i] for i in b]),
+            ))
+        made = pd.DataFrame(out, columns=["size", "docs", "pieces", "sizes"])
+        room = made["size"].rank(method="first")  # 1: the emptiest
+        made["climbs"] = (made["size"] < full * capacity) & (room <= max(1, rows // 2)) & (parts > 1)
+        for name in ("part", "parts", "capacity", "container_name"):
+            made[name] = pdf[name].iloc[0]
+        return made[["container_name", "capacity", "part", "parts", "size", "climbs", "docs", "pieces", "sizes"]]
+
+    return run
 
 
 def pack(items: DataFrame, containers: DataFrame, rows: int = ROWS, full: float = FULL) -> DataFrame:
@@ -84,24 +94,19 @@ def pack(items: DataFrame, containers: DataFrame, rows: int = ROWS, full: float
         "container_name", F.col("capacity").cast("int").alias("capacity"), rest.alias("size"), F.array("doc_id").alias("docs"),
         F.array(whole).alias("pieces"), F.array(rest).alias("sizes"),
     )
-    counts = lambda df: {r[0]: r[1] for r in df.groupBy("container_name").count().collect()}  # noqa: E731, a row a container_name
-    before, closed, turn = counts(every), [], 0
-    while count := sum(before.values()):
-        parts = -(-count // rows)
-        part = F.pmod(F.xxhash64(F.element_at("docs", 1), F.element_at("pieces", 1), F.lit(turn)), F.lit(parts))
-        made = open_.withColumn("part", part).groupBy("container_name", "capacity", "part").applyInPandas(_pack, _BIN)
-        made = stage(made, "bins")
-        nearly = F.col("size") >= F.lit(full) * F.col("capacity")
-        if parts == 1:
-            closed.append(made)
+    leaves = every.filter(rest > 0).groupBy("container_name").agg(F.ceil(F.count("*") / F.lit(rows)).cast("bigint").alias("parts"))  # one row a container_name
+    part = F.pmod(F.xxhash64(F.element_at("docs", 1), F.element_at("pieces", 1)), F.col("parts"))
+    level = open_.join(F.broadcast(leaves), "container_name").withColumn("part", part)
+    tree, closed = ["container_name", "capacity", "part", "parts"], []
+    while True:
+        made = stage(level.groupBy(*tree).applyInPandas(_packer(rows, full), _BIN), "bins")
+        closed.append(made.filter("NOT climbs"))
+        up = made.filter("climbs")
+        fullest = up.groupBy("container_name", "part").agg(F.count("*").alias("n")).groupBy("container_name").agg(F.max("n").alias("n"))
+        if not (most := {r[0]: r[1] for r in fullest.collect()}):  # one row a container_name
             break
-        left = counts(made.filter(~nearly))
-        ends = F.lit(False)
-        for name in [k for k, v in left.items() if v > PAYS * before[k]]:
-            ends = ends | F.col("container_name").eqNullSafe(F.lit(name))
-        before = {k: v for k, v in left.items() if v <= PAYS * before[k]}
-        closed.append(made.filter(nearly | ends))
-        open_, turn = made.filter(~nearly & ~ends), turn + 1
+        meet = reduce(lambda a, r: F.when(F.col("container_name").eqNullSafe(F.lit(r[0])), F.lit(max(2, rows // r[1]))).otherwise(a), most.items(), F.lit(2))
+        level = up.withColumns({"part": F.floor(F.col("part") / meet).cast("bigint"), "parts": F.ceil(F.col("parts") / meet).cast("bigint")}).drop("climbs")
     out = cut
     for k, made in enumerate(closed):
         name = F.concat_ws("-", F.lit(f"r{k}"), F.element_at("docs", 1), F.element_at("pieces", 1))
@@ -116,6 +121,24 @@ def pack(items: DataFrame, containers: DataFrame, rows: int = ROWS, full: float
     return out.unionByName(none)
 
 
+def flaws(packed: DataFrame, items: DataFrame, containers: DataFrame) -> DataFrame:
+    """Per container_name: documents placed, containers over their capacity, documents cut although they fit, documents
+    whose pieces do not sum to their size, and whether at most a fiftieth (and one container) is used above the least.
+    """
+    caps = containers.filter("capacity > 0").select("container_name", "capacity").distinct()
+    used = packed.groupBy("container_name", "container_id").agg(F.sum("n_tokens").alias("t")).join(caps, "container_name")
+    used = used.groupBy("container_name").agg(
+        F.count_if(F.col("t") > F.col("capacity")).alias("n_over"), F.count("*").alias("_n"), F.ceil(F.sum("t") / F.max("capacity")).alias("_least")
+    )
+    docs = packed.groupBy("container_name", "doc_id").agg(F.count("*").alias("p"), F.sum("n_tokens").alias("t")).join(caps, "container_name")
+    docs = docs.join(items.select("doc_id", F.coalesce("n", F.lit(0)).alias("n")), "doc_id", "full").groupBy("container_name").agg(
+        F.count("doc_id").alias("n_docs"), F.count_if((F.col("p") > 1) & (F.col("n") <= F.col("capacity"))).alias("n_cut"),
+        F.count_if(~F.col("t").eqNullSafe(F.col("n"))).alias("n_lost"),
+    )
+    near = (F.col("_n") <= F.ceil(F.col("_least") * 1.02) + 1).alias("near_least")
+    return docs.join(used, "container_name", "left").select("container_name", "n_docs", "n_over", "n_cut", "n_lost", near)
+
+
 def summary(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per container_name: containers used, tokens, the fewest containers possible for them, and the part left unused."""
     caps = containers.filter("capacity > 0").select("container_name", "capacity").distinct()

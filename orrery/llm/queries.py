@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +54,20 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(_packed(spark, d), table(spark, d, "containers"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """With tasks so small that the tree has several levels at any size: whether all rules hold."""
+    containers, documents, parts = table(spark, d, "containers"), table(spark, d, "documents"), []
+    for (name,) in containers.select("tokenizer").distinct().orderBy("tokenizer").collect():  # a fixed table
+        mine, n = containers.filter(F.col("tokenizer") == name), stage(tokenize.token_counts(documents, name), "counts")
+        parts.append(packing.flaws(stage(packing.pack(n, mine, rows=256), "packed"), n, mine))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.bands(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_recall, p6_ids, p6_decode, p7_containers, p7_summary, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_recall, p6_ids, p6_decode, p7_containers, p7_summary, p7_check, p8_found)}
 
 _NEAREST = """
   v AS (SELECT DISTINCT dataset_id, vid, CAST(pos AS DOUBLE[]) AS pos FROM vertices_nd JOIN root_metadata USING (dataset_id)
@@ -70,5 +81,7 @@ SQL = {
     "p2_found": f"""WITH {_NEAREST} SELECT DISTINCT least(vid, neighbour) AS vid_a, greatest(vid, neighbour) AS vid_b FROM near""",
     "p2_neighbours": f"""WITH {_NEAREST} SELECT dataset_id, vid, CAST(rank AS INT) AS rank, neighbour, round(sqrt(d2), 6) AS distance FROM near""",
     "p2_recall": f"""WITH {_NEAREST} SELECT dataset_id, count(DISTINCT vid) AS n_queries, count(*) AS n_true, true AS enough FROM near WHERE vid % 100 = 0 GROUP BY 1""",
+    "p7_check": """SELECT container_name, (SELECT count(*) FROM documents) AS n_docs, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_lost, true AS near_least
+        FROM containers WHERE capacity > 0""",
     "p6_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
