@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,10 +25,11 @@ from orrery.plans.staging import stage
 LANGS = ("en", "de", "fr", "es")
 MAX_LABELLED = 6000
 FOLDS = 5
+SCALED = 40  #: labels from which a language has a scale of its own
 DICTIONARY_ROWS = 1_000_000  #: a frequency table above this is joined by a shuffle instead of a broadcast
 UNIT = 12  #: words of a unit whose vocabulary is graded, where sentences are longer or have no end
 
-#: fixed values: connectives and subordinators per language
+#: connectives and subordinators per language: our own choice of common ones, no part of any format
 CONNECTIVES = {
     "en": "although because since unless whereas whether while hence therefore thereby thus however moreover insofar notwithstanding albeit whence ergo which whose whom upon that",
     "de": "obwohl weil sofern während wenn dass daher mithin gleichwohl jedoch ungeachtet indem insofern weshalb wodurch deren dessen welche bevor nachdem ohne",
@@ -45,39 +45,55 @@ RARITY = ["rarity", "rare", "rare_spread"]
 GRADED = ["grade", "g1", "g2", "g3", "g4", "top1", "top2", "top3", "top4", "known"]
 
 
+def _cut(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Lower-case words of a text, and by sentence their number and that of commas, semicolons and colons."""
+    words: list[str] = []
+    sizes, marks = [], []
+    for s in _ENDS.split(text.lower()):
+        w = _WORDS.findall(s)
+        if w:
+            words += w
+            sizes.append(len(w))
+            marks.append(s.count(",") + s.count(";") + s.count(":"))
+    return words, sizes, marks
+
+
+def _types(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Distinct words in order of first use, and the place of each word among them."""
+    seen: dict[str, int] = {}
+    at = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    return list(seen), at
+
+
 def style(text: str, lang: str | None) -> tuple[list[float], list[str]]:
     """Style features of a text and its distinct lower-case words; all zero for a text without words."""
-    parts = _ENDS.split(text.lower())
-    pairs = [(w, s.count(",") + s.count(";") + s.count(":")) for s in parts if (w := _WORDS.findall(s))]
-    words = [w for s, _ in pairs for w in s]
+    words, sizes, marks = _cut(text)
     if not words:
         return [0.0] * len(STYLE), []
     conn = _CONN.get(lang or "", _EVERY)
-    n, types = len(words), set(words)
-    lengths = np.array(list(map(len, words)))
-    per = np.array([len(s) for s, _ in pairs])
-    depth = np.array([c + sum(w in conn for w in s) for s, c in pairs])
-    seen: dict[str, int] = {}
-    fresh = 0
-    for i, w in enumerate(words):  # words not met among the 50 before
-        fresh += i - seen.get(w, -51) > 50
-        seen[w] = i
-    once = sum(c == 1 for c in Counter(words).values())
+    types, at = _types(words)
+    n, per = len(words), np.array(sizes)
+    of_type = np.fromiter(map(len, types), np.int64, len(types))
+    lengths, counts = of_type[at], np.bincount(at)
+    linked = np.fromiter((w in conn for w in types), np.int64, len(types))[at]
+    depth = np.array(marks) + np.add.reduceat(linked, np.cumsum(per) - per)
+    order = np.argsort(at, kind="stable")
+    again = np.diff(order)[np.diff(at[order]) == 0]
+    fresh = len(types) + int((again > 50).sum())  # words not met among the 50 before
+    once = int((counts == 1).sum())
     return [
         math.log(n), float(lengths.mean()), float((lengths >= 8).mean()), float((lengths >= 12).mean()), math.log(per.mean()), math.log(per.max()),
-        float(depth.mean()), math.log1p(depth.max()), sum(w in conn for w in words) / n, fresh / n, math.log(len(types)) / math.log(n + 1), once / n,
+        float(depth.mean()), math.log1p(depth.max()), int(linked.sum()) / n, fresh / n, math.log(len(types)) / math.log(n + 1), once / n,
     ], sorted(types)
 
 
-def units(text: str) -> list[list[str]]:
-    """The words of a text by sentence; longer sentences are cut into units of about UNIT words."""
-    out = []
-    for s in _ENDS.split(text.lower()):
-        w = _WORDS.findall(s)
-        if w:
-            parts = max(1, round(len(w) / UNIT)) if len(w) > 2 * UNIT else 1
-            size = -(-len(w) // parts)
-            out += [w[i : i + size] for i in range(0, len(w), size)]
+def unit_sizes(sizes: list[int]) -> list[int]:
+    """Words of each unit: sentences, of which the long ones are cut into units of about UNIT words."""
+    out: list[int] = []
+    for n in sizes:
+        parts = max(1, round(n / UNIT)) if n > 2 * UNIT else 1
+        size = -(-n // parts)
+        out += [min(size, n - i) for i in range(0, n, size)]
     return out
 
 
@@ -87,24 +103,23 @@ def graded(text: str, table: tuple[dict[str, int], np.ndarray] | None) -> list[f
     ``table`` holds the place of each word and, by place, the log-odds of the four bands.
     """
     places, odds = table or ({}, np.zeros((1, 4)))
-    get, at, owner, sizes = places.get, [], [], []
-    for k, u in enumerate(units(text)):
-        hit = [p for p in map(get, u) if p is not None]
-        at += hit
-        owner += [k] * len(hit)
-        sizes.append(len(u))
-    if not at:
+    words, sizes, _ = _cut(text)
+    types, at = _types(words)
+    place = np.fromiter((places.get(w, -1) for w in types), np.int64, len(types))[at]
+    known = place >= 0
+    if not known.any():
         return [2.5, 0.25, 0.25, 0.25, 0.25, 0.25, 0.25, 0.25, 0.25, 0.0]
-    own = np.array(owner)
+    units = np.array(unit_sizes(sizes))
+    own = np.repeat(np.arange(len(units)), units)[known]
     first = np.flatnonzero(np.diff(own, prepend=-1))
-    s = np.add.reduceat(odds[at], first, axis=0)
+    s = np.add.reduceat(odds[place[known]], first, axis=0)
     p = np.exp(s - s.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    w = np.array(sizes, float)[own[first]][:, None]
+    w = units[own[first]].astype(float)[:, None]
     w /= w.sum()
     soft = (p * w).sum(0)
     hard = ((p == p.max(1, keepdims=True)) * w).sum(0)
-    return [float(soft @ np.arange(1, 5)), *map(float, soft), *map(float, hard), len(at) / sum(sizes)]
+    return [float(soft @ np.arange(1, 5)), *map(float, soft), *map(float, hard), int(known.sum()) / len(words)]
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +238,16 @@ def design(x: np.ndarray, lang: np.ndarray, scale: dict[str, tuple[np.ndarray, n
     return np.clip(out, -6, 6)
 
 
-def bands(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, least: int = 300, held_out: bool = False) -> DataFrame:
+def bands(
+    documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, least: int = 300, held_out: bool = False, use: Sequence[str] = (*STYLE, *RARITY, *GRADED)
+) -> DataFrame:
     """(doc_id, band int) of every document whose lang is one of LANGS and whose n_chars is at least ``least``.
 
     Null bands are no labels; several ratings of a document are averaged (a tie goes to the lower band), copies of a
-    rating count once.  Without any usable label every band is 2.  ``held_out`` returns instead, for labelled
-    documents, (doc_id, band, label) with each fold predicted by a model of the other folds.
+    rating count once.  Features are scaled within their language, within all languages together where one has fewer
+    than ``SCALED`` labels.  ``use`` names the features of the regression.  No document to judge gives no rows; documents
+    without any usable label are an error, since there is no scale.  ``held_out`` returns instead, for labelled
+    documents, (doc_id, band, label, lang) with each fold predicted by a model of the other folds.
     """
     spark = documents.sparkSession
     own = stage(own_words(documents), "own")
@@ -243,15 +262,18 @@ def bands(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     graded_words = eligible.join(rated, "doc_id").select("lang", "fold", F.col("label").alias("band"), F.explode(F.concat("types", F.array(F.lit("")))).alias("word"))
     counts = graded_words.groupBy("lang", "word", "fold", "band").agg(F.count("*").alias("n")).toPandas()  # words of max_labelled texts
     if not len(counts):
-        return eligible.select("doc_id", F.lit(2).alias("band"))
+        if eligible.isEmpty():
+            return eligible.select("doc_id", F.lit(None).cast("int").alias("band"))
+        raise ValueError("no usable label: the bands have no scale")
+    kept = np.array([k for k, name in enumerate((*STYLE, *RARITY, *GRADED)) if name in use])
     tables = spark.sparkContext.broadcast(grade_tables(counts))
     run = lambda df: df.mapInArrow(lambda it: _features(it, tables), "doc_id bigint, lang string, x array<double>")
     train = base.join(rated, "doc_id")
     sample = run(train.select("doc_id", "lang", "own", "style", "rare", "fold")).join(rated, "doc_id").orderBy("doc_id").toPandas()
     x, y = np.stack(sample["x"].to_list()), sample["label"].to_numpy().astype(int)
     lang, folds = sample["lang"].to_numpy(), sample["fold"].to_numpy()
-    scale = {g: (x[lang == g].mean(0), x[lang == g].std(0) + 1e-6) for g in np.unique(lang) if (lang == g).sum() >= 40} | {"": (x.mean(0), x.std(0) + 1e-6)}
-    z = design(x, lang, scale)
+    scale = {g: (x[lang == g].mean(0), x[lang == g].std(0) + 1e-6) for g in np.unique(lang) if (lang == g).sum() >= SCALED} | {"": (x.mean(0), x.std(0) + 1e-6)}
+    z = design(x, lang, scale)[:, kept]
     if held_out:
         got = np.zeros(len(y), int)
         for f in range(FOLDS):
@@ -263,7 +285,7 @@ def bands(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _features(batches, tables):
             if b.num_rows:
-                z = design(np.stack(b.column("x").to_pylist()), np.array(b.column("lang").to_pylist()), scale)
+                z = design(np.stack(b.column("x").to_pylist()), np.array(b.column("lang").to_pylist()), scale)[:, kept]
                 yield pa.record_batch([b.column("doc_id"), pa.array(model.predict(z).astype(np.int32))], names=["doc_id", "band"])
 
     return base.select("doc_id", "lang", "own", "style", "rare", F.lit(-1).alias("fold")).mapInArrow(score, "doc_id bigint, band int")
