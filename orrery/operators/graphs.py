@@ -95,6 +95,23 @@ def prune(trees: DataFrame, min_vertices: int, min_length: float = 0.0) -> DataF
     return trees.groupBy("tree").applyInPandas(run, "tree bigint, node bigint")
 
 
+def cluster_bin(n_vertices: int, n_faces: int, extents: list[float], target_faces: int | None = None, target_ratio: float | None = None) -> float:
+    """Bin edge for clustering to about ``target_faces`` faces (or ``target_ratio`` of them; a quarter by default)."""
+    if target_ratio is not None:
+        target_faces = int(n_faces * target_ratio)
+    want = max(1, n_faces // 4 if target_faces is None else target_faces)
+    return sum(extents) / len(extents) * (n_faces / want / max(1, n_vertices)) ** (1 / 3) * 2
+
+
+def coarsen_mesh(nodes: DataFrame, faces: DataFrame, target_faces: int | None = None, target_ratio: float | None = None, axes: str = "xyz") -> DataFrame:
+    """Faces left after clustering the corners into bins of the estimated size; one row of counts decides the size."""
+    r = nodes.agg(F.count("*"), *[F.coalesce(F.max(a) - F.min(a), F.lit(0.0)).cast("double") for a in axes]).first()
+    n_faces = faces.count()
+    if not r[0] or not n_faces:
+        return cluster_faces(faces, meta_by_bin(nodes, 1.0, axes))
+    return cluster_faces(faces, meta_by_bin(nodes, cluster_bin(r[0], n_faces, list(r[1:]), target_faces, target_ratio) or 1.0, axes))
+
+
 def meta_by_bin(nodes: DataFrame, bin_size: float, axes: str = "xyz") -> DataFrame:
     """(id, meta): the grid bin of each node, as the text of its indices."""
     return nodes.select("id", F.concat_ws(".", *[cell(F.col(a), bin_size).cast("string") for a in axes]).alias("meta"))

@@ -90,18 +90,43 @@ def _keep_points(p: np.ndarray, epsilon: float) -> np.ndarray:
     return keep
 
 
-def simplify(lines: DataFrame, epsilon: float) -> DataFrame:
-    """Vertices that Douglas-Peucker keeps, per object; a grouped map, so one object must fit a task."""
+def simplify(lines: DataFrame, epsilon: float, min_vertices: int = 2) -> DataFrame:
+    """Vertices that Douglas-Peucker keeps, per object; a grouped map, so one object must fit a task.
+
+    Where fewer than ``min_vertices`` are left, that many evenly spaced ones are kept instead (all, if there are fewer).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", ignore_index=True)
         p = pdf[["x", "y", "z"]].fillna(0.0).to_numpy(float)
-        return pdf.loc[_keep_points(p, epsilon), [*OBJECT, "vid", "ord"]]
+        keep = _keep_points(p, epsilon)
+        if keep.sum() < min_vertices:
+            keep[:] = False
+            keep[np.unique(np.linspace(0, len(p) - 1, min(min_vertices, len(p))).astype(int))] = True
+        return pdf.loc[keep, [*OBJECT, "vid", "ord"]]
 
     schema = "dataset_id int, level int, oid bigint, vid bigint, ord bigint"
     return lines.select(*OBJECT, "vid", "ord", "x", "y", "z").groupBy(*OBJECT).applyInPandas(run, schema)
 
 
+def coarsen(lines: DataFrame, epsilon: float | None, bins: Sequence[str] | None, per_bin: int = 1, min_vertices: int = 2, selection: str = "longest") -> DataFrame:
+    """Simplify, then keep ``per_bin`` polylines of each bin of their midpoints; either step may be left out.
+
+    ``bins`` are columns of ``lines``.  Returns the vertices kept, with their new places.
+    """
+    from orrery.operators import select
+
+    kept = lines
+    if epsilon is not None:
+        kept = lines.join(simplify(lines, epsilon, min_vertices).select(*OBJECT, "vid"), [*OBJECT, "vid"], "left_semi")
+        kept = kept.withColumn("ord", (F.row_number().over(Window.partitionBy(*OBJECT).orderBy("ord")) - 1).cast("bigint"))
+    if bins is None:
+        return kept
+    mid = kept.withColumn("n", F.count("*").over(Window.partitionBy(*OBJECT))).filter(F.col("ord") == F.floor(F.col("n") / 2)).select(*OBJECT, "n", *bins)
+    chosen = select.subsample(mid, ["dataset_id", "level", *bins], per_bin, selection).select(*OBJECT)
+    return kept.join(chosen, OBJECT, "left_semi")
+
+
 def segments_touching(segments: DataFrame, lo: Sequence[float], hi: Sequence[float]) -> DataFrame:
     """Line segments of which either endpoint (x0, y0) or (x1, y1) is in the closed box."""
     end = lambda i: F.col(f"x{i}").between(lo[0], hi[0]) & F.col(f"y{i}").between(lo[1], hi[1])

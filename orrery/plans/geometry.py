@@ -832,3 +832,61 @@ def validate_conformance(spark, d):
 def cells_high_d(spark, d):
     key = F.concat_ws(".", F.transform("embedding", lambda v: F.floor(v.cast("double") / 0.25).cast("string")))
     return table(spark, d, "embeddings").groupBy("label", key.alias("bin_key")).agg(F.count("*").alias("n"))
+
+
+# ---- strategies and encodings, there and back
+
+@query(w(_LIVE, _MID, _STEPS) + """, m AS (SELECT dataset_id, oid, n, length, chunk_key FROM mid JOIN (SELECT dataset_id, level, oid, length FROM lens) USING (dataset_id, level, oid) WHERE level = 0),
+  k AS (SELECT dataset_id, greatest(1, round_even(count(*) * 0.3, 0)) AS k FROM m GROUP BY 1)
+  SELECT 'length' AS strategy, dataset_id, oid FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY round(length, 6) DESC, oid) AS r FROM m JOIN k USING (dataset_id)) WHERE r <= k
+  UNION ALL SELECT 'attribute', dataset_id, oid FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY n, oid) AS r FROM m JOIN k USING (dataset_id)) WHERE r <= k
+  UNION ALL SELECT 'point_thinning', dataset_id, min(oid) FROM m GROUP BY dataset_id, chunk_key""")
+def sparsity_strategies(spark, d):
+    l = _lines(spark, d).filter("level = 0")  # objects are chosen at the full level
+    m = polylines.midpoints(l).join(polylines.lengths(l).select(*polylines.OBJECT, F.round("length", 6).alias("length")), polylines.OBJECT)
+    one = lambda name, **kw: select.apply_sparsity(m, 0.3, name, **kw).select(F.lit(name).alias("strategy"), "dataset_id", "oid")
+    return one("length").unionByName(one("attribute", value="n", mode="min")).unionByName(one("point_thinning", bins=["cx", "cy", "cz"]))
+
+
+@query(w(_LIVE, _MID) + """SELECT dataset_id, oid, rank FROM (SELECT dataset_id, oid, CAST(row_number() OVER (PARTITION BY dataset_id, level, chunk_key ORDER BY oid) AS INT) AS rank, level FROM mid) WHERE rank <= 2 AND level = 0""")
+def subsample_first(spark, d):
+    m = polylines.midpoints(_lines(spark, d).filter("level = 0"))  # objects are chosen at the full level
+    return select.subsample(m, ["dataset_id", "cx", "cy", "cz"], 2, "first").select("dataset_id", "oid", "rank")
+
+
+@query("WITH RECURSIVE " + _LIVE + "," + _PEUCKER + """, kept AS (SELECT dataset_id, level, oid, ord, row_number() OVER (PARTITION BY dataset_id, level, oid ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY dataset_id, level, oid) AS n
+    FROM (SELECT DISTINCT * FROM (SELECT dataset_id, level, oid, a AS ord FROM seg UNION SELECT dataset_id, level, oid, b FROM seg))),
+  reps AS (SELECT k.dataset_id, k.level, k.oid, k.n, row_number() OVER (PARTITION BY k.dataset_id, k.level, l.chunk_key ORDER BY k.n DESC, k.oid DESC) AS r FROM kept k JOIN lines l USING (dataset_id, level, oid, ord) WHERE i = floor(n / 2))
+  SELECT dataset_id, level, oid, n FROM reps WHERE r <= 1""")
+def coarsen_polylines(spark, d):
+    out = polylines.coarsen(_lines(spark, d), 1.0, ["cx", "cy", "cz"])
+    return out.groupBy(*polylines.OBJECT).agg(F.count("*").alias("n"))
+
+
+@query(w(_MESH, "size AS (SELECT ((max(x) - min(x)) + (max(y) - min(y))) / 2 * power((SELECT count(*) FROM faces) / greatest(1, floor((SELECT count(*) FROM faces) * 0.1)) / count(*), 1.0 / 3) * 2 AS b FROM grid)") + """
+    SELECT array_to_string(c, ',') AS corners, min(face_id) AS face_id FROM (SELECT face_id, list_sort(list(m)) AS c, count(DISTINCT m) AS k FROM corners JOIN (
+      SELECT id, concat_ws('.', CAST(floor(x / b) AS BIGINT), CAST(floor(y / b) AS BIGINT)) AS m FROM grid, size) USING (id) GROUP BY 1) WHERE k = 3 GROUP BY 1""")
+def mesh_to_ratio(spark, d):
+    nodes, faces = _mesh(spark, d)
+    return graphs.coarsen_mesh(nodes, faces, target_ratio=0.1, axes="xy").select(F.array_join("corners", ",").alias("corners"), "face_id")
+
+
+@query(w(_LIVE) + "SELECT dataset_id, level, chunk_key, oid, row_number() OVER (PARTITION BY dataset_id, level, chunk_key, oid ORDER BY vid) - 1 AS pos, vid FROM placed WHERE oid IS NOT NULL")
+def ragged_roundtrip(spark, d):
+    p = _placed(spark, d).filter("oid IS NOT NULL").withColumn("chunk_key", points.key())
+    packed = encode.pack_ragged(p, ["dataset_id", "level", "chunk_key"], "oid", "vid", "vid")
+    return encode.unpack_ragged(packed, ["dataset_id", "level", "chunk_key"], "oid", "vid")
+
+
+@query(w(_LIVE) + "SELECT dataset_id, level, chunk_key, fragment, row_number() OVER (PARTITION BY dataset_id, level, chunk_key ORDER BY vid) - 1 AS local_idx FROM placed")
+def fragments_roundtrip(spark, d):
+    l = points.local_index(_placed(spark, d)).withColumn("chunk_key", points.key())
+    keys = ["dataset_id", "level", "chunk_key", "fragment"]
+    return encode.decode_fragments(encode.encode_fragments(l, keys, "local_idx"), keys, "local_idx")
+
+
+@query("""SELECT DISTINCT manifest_id, CAST(pos - 1 AS INT) AS entry, e.chunk_key AS chunk_key, e.fragment AS fragment FROM (SELECT manifest_id, unnest(manifest) AS e, generate_subscripts(manifest, 1) AS pos FROM object_index)""")
+def manifest_roundtrip(spark, d):
+    e = table(spark, d, "object_index").select("manifest_id", F.posexplode("manifest").alias("pos", "e")).distinct()
+    e = e.select("manifest_id", "pos", F.col("e.chunk_key").alias("chunk_key"), F.col("e.fragment").alias("fragment"))
+    return encode.decode_manifests(encode.encode_manifests(e, ["manifest_id"], "pos", "chunk_key", "fragment"), ["manifest_id"], "chunk_key", "fragment")
