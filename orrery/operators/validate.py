@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +41,33 @@ def positions(vertices: DataFrame, root: DataFrame) -> DataFrame:
     )
 
 
+def consistency(vertices: DataFrame, root: DataFrame, links: DataFrame, edges: DataFrame, groups: DataFrame, objects: DataFrame) -> DataFrame:
+    """References of all tables that lead nowhere, objects without a vertex, and places used twice, by dataset.
+
+    Targets are keys whether deleted or not; copies of a row count once.  A null or -1 parent is no reference.
+    """
+    v = vertices.filter("vid IS NOT NULL").select("dataset_id", "level", "vid").distinct()
+    o = objects.filter("oid IS NOT NULL").select("dataset_id", "oid").distinct()
+
+    def dangling(refs: DataFrame, key: str, name: str, there: DataFrame, on: Sequence[str]) -> DataFrame:
+        r = refs.filter(F.col(key).isNotNull()).select("dataset_id", F.col(key).alias(there.columns[-1]), *[c for c in on if c not in ("dataset_id", there.columns[-1])], "_id")
+        return _finding(r.distinct().join(there, list(on), "left_anti"), name)
+
+    ends = edges.withColumn("_id", F.col("link_id"))
+    up = ends.withColumn("level", F.col("level") + F.col("delta"))
+    child = links.withColumn("_id", F.col("link_id")).withColumn("level", F.lit(0))
+    at = ["dataset_id", "level", "vid"]
+    used = vertices.filter("oid IS NOT NULL").select("dataset_id", "oid").distinct()
+    twice = vertices.filter("deleted_at IS NULL AND oid IS NOT NULL AND seq IS NOT NULL").select("dataset_id", "level", "oid", "seq", "vid").distinct()
+    return reduce(DataFrame.unionByName, [
+        dangling(ends, "src_vid", "edge_source", v, at), dangling(up, "dst_vid", "edge_target", v, at), dangling(child, "child_vid", "link_child", v, at),
+        dangling(child.filter("parent_vid <> -1"), "parent_vid", "link_parent", v, at),
+        dangling(groups.withColumn("_id", F.col("member_id")), "oid", "group_member", o, ["dataset_id", "oid"]),
+        _finding(o.join(used, ["dataset_id", "oid"], "left_anti"), "object_without_vertex"),
+        _finding(twice.groupBy("dataset_id", "level", "oid", "seq").agg(F.count("*").alias("c")).filter("c > 1"), "place_used_twice"),
+    ])
+
+
 def levels(vertices: DataFrame) -> DataFrame:
     """Levels of each dataset with their vertex counts: contiguous from 0 and never more than the level below."""
     n = vertices.filter("deleted_at IS NULL").groupBy("dataset_id", "level").agg(F.count_distinct("vid").alias("n"))

@@ -834,6 +834,19 @@ def cells_high_d(spark, d):
     return table(spark, d, "embeddings").groupBy("label", key.alias("bin_key")).agg(F.count("*").alias("n"))
 
 
+_ENDPOINT = "SELECT DISTINCT dataset_id, {level} AS level, {key} AS vid, link_id FROM {table} WHERE {key} IS NOT NULL{more}"
+_DANGLING = [("edge_source", "cross_chunk_links", "level", "src_vid", ""), ("edge_target", "cross_chunk_links", "level + delta", "dst_vid", ""), ("link_child", "links", "0", "child_vid", ""),
+             ("link_parent", "links", "0", "parent_vid", " AND parent_vid <> -1")]
+
+
+@query(" UNION ALL ".join(f"""SELECT '{name}' AS "check", dataset_id, count(*) AS n FROM ({_ENDPOINT.format(level=level, key=key, table=t, more=more)}) r ANTI JOIN vertices v USING (dataset_id, level, vid) GROUP BY 2""" for name, t, level, key, more in _DANGLING) + """
+    UNION ALL SELECT 'group_member', dataset_id, count(*) FROM (SELECT DISTINCT dataset_id, oid, member_id FROM groupings WHERE oid IS NOT NULL) ANTI JOIN object_index USING (dataset_id, oid) GROUP BY 2
+    UNION ALL SELECT 'object_without_vertex', dataset_id, count(*) FROM (SELECT DISTINCT dataset_id, oid FROM object_index WHERE oid IS NOT NULL) ANTI JOIN vertices USING (dataset_id, oid) GROUP BY 2
+    UNION ALL SELECT 'place_used_twice', dataset_id, count(*) FROM (SELECT dataset_id, level, oid, seq FROM vertices WHERE deleted_at IS NULL AND oid IS NOT NULL AND seq IS NOT NULL GROUP BY ALL HAVING count(DISTINCT vid) > 1) GROUP BY 2""")
+def validate_consistency(spark, d):
+    return validate.consistency(*[table(spark, d, t) for t in ("vertices", "root_metadata", "links", "cross_chunk_links", "groupings", "object_index")])
+
+
 # ---- strategies and encodings, there and back
 
 @query(w(_LIVE, _MID, _STEPS) + """, m AS (SELECT dataset_id, oid, n, length, chunk_key FROM mid JOIN (SELECT dataset_id, level, oid, length FROM lens) USING (dataset_id, level, oid) WHERE level = 0),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import geometry, problems
+from orrery.plans import geometry, problems, stores
 
-_MODULES = [problems, geometry]
+_MODULES = [problems, geometry, stores]
 
 
 def queries() -> dict:

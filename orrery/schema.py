@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-VERTICES = "level int, vid bigint, oid bigint, seq bigint, x double, y double, z double, cx bigint, cy bigint, cz bigint"
+VERTICES = "level int, vid bigint, oid bigint, seq bigint, x double, y double, z double, cx bigint, cy bigint, cz bigint, fragment bigint"
 LINKS = "level int, delta int, link_id bigint, src_vid bigint, dst_vid bigint, weight double"
 FACES = "level int, face_id bigint, vids array<bigint>"
 OBJECTS = "level int, oid bigint, present boolean"
 GROUPS = "gid bigint, oid bigint, member_seq int"
+GROUP_ATTRIBUTES = "gid bigint"
 PARAMETRIC = "object_id bigint, type_id int, coefficients array<double>, name string"
 
 #: fixed values: the format's enumerations

@@ -13,16 +13,18 @@ from orrery.sources.store import GeometryStore
 def append_stream(rows: DataFrame, store: GeometryStore, checkpoint: str) -> StreamingQuery:
     """Append a stream of vertices(vid, x, y[, z, oid, seq]) batch by batch.
 
-    The number of the last committed batch is kept in the store's headers and saved together with the new version, so a
-    batch that is replayed after a failure is written once.
+    The number of the last committed batch is kept in the store's headers, for each stream by the id that its checkpoint
+    gives it, and saved together with the new version: a batch that is replayed after a failure is written once, and a
+    second stream, or the same one with a new checkpoint, starts at its own first batch.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if store.meta.headers.get("stream_batch", -1) >= number:
+        key = "stream/" + str(batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        if store.meta.headers.get(key, -1) >= number:
             return
         store.stage("vertices", store.with_grid(batch))
-        store.meta.headers["stream_batch"] = number
-        store.commit()
+        store.meta.headers[key] = number
+        store.commit(f"batch {number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

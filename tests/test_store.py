@@ -108,5 +108,7 @@ def test_streams(spark, store, tmp_path):
     for _ in range(2):
         append_stream(spark.readStream.schema(new.schema).parquet(src), store, str(tmp_path / "cp")).awaitTermination()
     assert GeometryStore.open(spark, store.path).points(where="vid >= 200").count() == 6
+    append_stream(spark.readStream.schema(new.schema).parquet(src), store, str(tmp_path / "cp2")).awaitTermination()
+    assert GeometryStore.open(spark, store.path).points(where="vid >= 200").count() == 12  # another stream of the same rows
     ev = spark.createDataFrame([(1.0, 2.0, "2024-01-01 05:00:00"), (3.0, 2.0, "2024-01-01 09:00:00"), (30.0, 2.0, "2024-01-02 09:00:00")], "x double, y double, ts string")
     assert rows(windowed_cells(ev, 10.0).select("cx", "n")) == [(0, 2), (3, 1)]
