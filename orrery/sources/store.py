@@ -90,7 +90,7 @@ class GeometryStore:
     def _save(self, message: str = "write") -> None:
         if not self.writable:
             raise StoreError("opened for reading")
-        last = self.history[-1] if self.history else {"id": 0, "versions": None}
+        last = self.history[-1] if self.history else {"id": 0, "versions": {}}
         if self.versions != last["versions"]:
             self.history.append({"id": last["id"] + 1, "at": time.time(), "message": message, "meta": self.meta.to_json(), "versions": dict(self.versions)})
         fs, where = self._fs(self.spark, f"{self.path}/meta.json")
