@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.grid import chunk_key, in_box, in_box_cells, with_cells
 from orrery.operators import blocks
+from orrery.plans.staging import stage
 
 CELL = ["dataset_id", "level", "cx", "cy", "cz"]
 SLOTS = 1 << 16  #: object slots that one row opens out to
@@ -161,7 +162,12 @@ def attribute_bins(df: DataFrame, value: str) -> DataFrame:
     if dict(df.dtypes)[value] in ("float", "double"):
         raise TypeError(f"{value} is not categorical")
     distinct = df.filter(F.col(value).isNotNull()).select(value).distinct()
-    return distinct.select(value, (F.row_number().over(Window.orderBy(value)) - 1).cast("bigint").alias("bin"))
+    ranges = distinct.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), value)
+    d = stage(ranges.withColumn("_p", F.spark_partition_id()), "values")  # ranges rise with their number, so no task orders all values
+    over = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = d.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))  # one row a range
+    place = d.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(value)) - 1)
+    return place.join(base, "_p").select(value, (F.col("_before") + F.col("_i")).cast("bigint").alias("bin"))
 
 
 def encode_categorical(df: DataFrame, value: str, fill: int = -1) -> DataFrame:

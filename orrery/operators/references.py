@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.grid import chunk_key, with_cells
+from orrery.plans.sizing import small
+from orrery.plans.staging import stage
 
 BLOCK = 1 << 16
 NOWHERE = -(1 << 31)  #: stands for a null part of a reference's domain, which no parent has
@@ -64,12 +66,13 @@ def broken(parents: DataFrame, refs: DataFrame) -> DataFrame:
     """References of refs(ref_table, ref_id, pos, domain, key, written_at) whose target is missing, deleted or late.
 
     Keys that are certainly fine (found, alive, first written no later than any reference to them) drop out before
-    the references are joined; copies of a reference are reported once.
+    the references are joined; copies of a reference are reported once.  Broken keys are broadcast if their measured
+    bytes allow; more of them are joined by a shuffle, whose hot keys AQE splits.
     """
     keys = refs.groupBy(*DOMAIN, "key").agg(F.min("written_at").alias("earliest"))
     m = match_runs(key_runs(parents), keys)
     bad = m.filter(~F.col("found") | ~F.col("alive") | (F.col("first_at") > F.col("earliest")))
-    bad = bad.select(*DOMAIN, "key", "found", "alive", "first_at")
+    bad = small(stage(bad.select(*DOMAIN, "key", "found", "alive", "first_at"), "broken-keys"))  # where broadcast, a hot broken key moves no rows
     reason = (
         F.when(~F.col("found"), F.lit("missing"))
         .when(~F.col("alive"), F.lit("deleted"))
