@@ -32,6 +32,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"), "byte_bpe_50k")
 
 
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by public tokenizer: how many have tokens, and how many have none though their text is not empty."""
+    docs, parts = table(spark, d, "documents"), []
+    for name in ("byte_bpe_50k", "byte_bpe_multi_50k", "word_bpe_49k", "piece_bpe_32k"):
+        n = tokenize.token_counts(docs, name).join(docs.select("doc_id", "text"), "doc_id")
+        blank = F.coalesce(F.length(F.regexp_replace("text", r"(?U)\s", "")), F.lit(0)) == 0
+        parts.append(n.agg(F.lit(name).alias("tokenizer"), F.count("*").alias("n_docs"), F.count_if((F.col("n") == 0) & ~blank).alias("n_lost"), F.count_if((F.col("n") > 0) & (F.coalesce(F.length("text"), F.lit(0)) == 0)).alias("n_made_up")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p6_decode(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.decode(stage(p6_ids(spark, d), "ids"), "byte_bpe_50k")
 
@@ -67,7 +77,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.bands(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_recall, p6_ids, p6_decode, p7_containers, p7_summary, p7_check, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_recall, p6_ids, p6_counts, p6_decode, p7_containers, p7_summary, p7_check, p8_found)}
 
 _NEAREST = """
   v AS (SELECT DISTINCT dataset_id, vid, CAST(pos AS DOUBLE[]) AS pos FROM vertices_nd JOIN root_metadata USING (dataset_id)
@@ -81,6 +91,8 @@ SQL = {
     "p2_found": f"""WITH {_NEAREST} SELECT DISTINCT least(vid, neighbour) AS vid_a, greatest(vid, neighbour) AS vid_b FROM near""",
     "p2_neighbours": f"""WITH {_NEAREST} SELECT dataset_id, vid, CAST(rank AS INT) AS rank, neighbour, round(sqrt(d2), 6) AS distance FROM near""",
     "p2_recall": f"""WITH {_NEAREST} SELECT dataset_id, count(DISTINCT vid) AS n_queries, count(*) AS n_true, true AS enough FROM near WHERE vid % 100 = 0 GROUP BY 1""",
+    "p6_counts": """SELECT unnest(['byte_bpe_50k', 'byte_bpe_multi_50k', 'word_bpe_49k', 'piece_bpe_32k']) AS tokenizer, n AS n_docs, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_made_up
+        FROM (SELECT count(*) AS n FROM documents)""",
     "p7_check": """SELECT container_name, (SELECT count(*) FROM documents) AS n_docs, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_lost, true AS near_least
         FROM containers WHERE capacity > 0""",
     "p6_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

@@ -1,8 +1,9 @@
 """Encoding of a whole corpus with a public tokenizer: every distinct word is encoded once.
 
 Texts are cut into pre-tokens with their positions, the distinct pre-tokens are gathered by one shuffle and encoded
-once each, and their ids are joined back and put together by position.  Cutting, joining and putting together stay in
-the JVM; Python sees only the distinct words.  Texts are partitioned by document before they are cut, so the words of a
+once each, and their ids are joined back and put together by position.  Joining and putting together stay in the JVM, for
+the byte-level ranks cutting too; Python sees only the distinct words.  The other vocabularies cut by their libraries'
+own rules.  Vocabulary files are read by the driver and broadcast, so executors need none.  Texts are partitioned by document before they are cut, so the words of a
 text never move: with a dictionary small enough to broadcast (its size is measured) the whole encoding takes one
 shuffle of texts.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -26,11 +28,61 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 DICTIONARY_BYTES = 32 << 20  #: a dictionary above this is joined by a shuffle instead of a broadcast
 
 
+def vocabulary(name: str, folder: str = TOKENIZERS) -> tuple[str, bytes]:
+    """Kind (tiktoken, json or model) and bytes of the vocabulary file of ``name``."""
+    for kind in ("tiktoken", "json", "model"):
+        if (path := Path(folder) / f"{name}.{kind}").exists():
+            return kind, path.read_bytes()
+    raise FileNotFoundError(f"{folder}/{name}")
+
+
 def rank_lines(name: str, folder: str = TOKENIZERS) -> bytes:
     """The vocabulary file ``folder/name.tiktoken``: base64 bytes and id a line."""
     return (Path(folder) / f"{name}.tiktoken").read_bytes()
 
 
+class _Json:
+    """Words and ids by the tokenizers library: its normaliser and cutter give the words, its model encodes each."""
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_str(data.decode())
+
+    def words(self, text: str) -> list[str]:
+        norm = self.tok.normalizer
+        return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(norm.normalize_str(text) if norm else text)]
+
+    def ids(self, word: str) -> list[int]:
+        return [t.id for t in self.tok.model.tokenize(word)]
+
+
+class _Model:
+    """Words and ids by sentencepiece: no piece holds a blank behind another character, so blanks begin words."""
+
+    blank = "\u2581"
+
+    def __init__(self, data: bytes):
+        import re
+
+        import sentencepiece
+
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.find = re.compile(f"{self.blank}+[^{self.blank}]*|[^{self.blank}]+").findall
+
+    def words(self, text: str) -> list[str]:
+        return self.find(self.sp.normalize(text))
+
+    def ids(self, word: str) -> list[int]:
+        if word == self.blank:
+            return [self.sp.piece_to_id(word)]
+        return self.sp.encode(word.removeprefix(self.blank).replace(self.blank, " "))  # the library puts one blank before
+
+
+def _library(kind: str, data: bytes) -> _Json | _Model:
+    return _Json(data) if kind == "json" else _Model(data)
+
+
 def _encoding(lines: bytes):
     import tiktoken
 
@@ -47,33 +99,45 @@ def _splitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("doc_id"), words], names=["doc_id", "words"])
 
 
-def _pretokens(docs: DataFrame) -> list[DataFrame]:
+def _pretokens(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> list[DataFrame]:
     """Disjoint parts of :func:`pretokens`, each partitioned like ``docs``."""
     docs = docs.select("doc_id", "text").filter("text <> ''")
+    kind, data = vocabulary(name, folder)
+    if kind != "tiktoken":
+        held = docs.sparkSession.sparkContext.broadcast(data)  # one vocabulary file, a few MB
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lib = None
+            for b in batches:
+                lib = lib or _library(kind, held.value)
+                words = pa.array([lib.words(t) for t in b.column("text").to_pylist()], pa.list_(pa.string()))
+                yield pa.record_batch([b.column("doc_id"), words], names=["doc_id", "words"])
+
+        return [docs.mapInArrow(cut, "doc_id bigint, words array<string>")]
     unknown = F.col("text").rlike(r"\p{Cn}")
     jvm = docs.filter(~unknown).select("doc_id", F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0)).alias("words"))
     return [jvm, docs.filter(unknown).mapInArrow(_splitter, "doc_id bigint, words array<string>")]
 
 
-def pretokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, words array<string>) of docs(doc_id, text); the words of a text join to the text.
+def pretokens(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """(doc_id, words array<string>) of docs(doc_id, text), as the vocabulary cuts them.
 
-    A null or empty text has no words.  Texts with characters that the JVM's Unicode tables do not know are cut by a
-    newer table in Python, all others in the JVM; both cut whole texts.
+    A null or empty text has no words.  For byte-level ranks, texts with characters that the JVM's Unicode tables do not
+    know are cut by a newer table in Python, all others in the JVM; both cut whole texts.
     """
-    jvm, other = _pretokens(docs)
-    return jvm.unionByName(other)
+    return reduce(DataFrame.unionByName, _pretokens(docs, name, folder))
 
 
 def dictionary(words: DataFrame, name: str, folder: str = TOKENIZERS) -> DataFrame:
     """(word, ids) of every distinct word of words(word), each encoded once."""
-    held = words.sparkSession.sparkContext.broadcast(rank_lines(name, folder))  # one vocabulary file, a few MB
+    kind, data = vocabulary(name, folder)
+    held = words.sparkSession.sparkContext.broadcast(data)  # one vocabulary file, a few MB
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = None
+        ids_of = None
         for b in batches:
-            enc = enc or _encoding(held.value)
-            ids = pa.array([enc.encode_ordinary(w) for w in b.column("word").to_pylist()], pa.list_(pa.int32()))
+            ids_of = ids_of or (_encoding(held.value).encode_ordinary if kind == "tiktoken" else _library(kind, held.value).ids)
+            ids = pa.array([ids_of(w) for w in b.column("word").to_pylist()], pa.list_(pa.int32()))
             yield pa.record_batch([b.column("word"), ids], names=["word", "ids"])
 
     return words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
@@ -97,13 +161,13 @@ def encode(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKEN
     null.  Other columns are ignored; an empty table gives no rows.
     """
     docs = _spread(documents)
-    dic = _sized(stage(dictionary(pretokens(documents).select(F.explode("words").alias("word")), name, folder), "words"))
+    dic = _sized(stage(dictionary(pretokens(documents, name, folder).select(F.explode("words").alias("word")), name, folder), "words"))
     none = F.array().cast("array<int>")
     out = documents.filter("text IS NULL OR text = ''").select("doc_id", none.alias("ids"))
-    for part in _pretokens(docs):  # apart, since a union would forget that each is partitioned by document
-        at = part.select("doc_id", F.posexplode("words").alias("pos", "word")).join(dic, "word")
+    for part in _pretokens(docs, name, folder):  # apart, since a union would forget that each is partitioned by document
+        at = part.select("doc_id", F.posexplode_outer("words").alias("pos", "word")).join(dic, "word", "left")  # a text may have no word
         parts = at.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
-        out = out.unionByName(parts.select("doc_id", F.flatten(F.col("p.ids")).alias("ids")))
+        out = out.unionByName(parts.select("doc_id", F.coalesce(F.flatten(F.col("p.ids")), none).alias("ids")))
     return out
 
 
@@ -125,36 +189,12 @@ def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZ
     )
 
 
-def _other_counts(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
-            count = lambda texts: [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
-        else:
-            import sentencepiece
-
-            sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            count = lambda texts: [len(e) for e in sp.encode(texts, num_threads=1)]
-        for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array(count(b.column("text").to_pylist()), pa.int64())], names=["doc_id", "n"])
-
-    return run
-
-
 def token_counts(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, n bigint): tokens of every text; 0 for null and empty texts."""
-    if (Path(folder) / f"{name}.tiktoken").exists():
-        words = pretokens(documents)
-        dic = stage(dictionary(words.select(F.explode("words").alias("word")), name, folder), "words")
-        dic = _sized(dic).select("word", F.size("ids").alias("k"))
-        at = pretokens(_spread(documents)).select("doc_id", F.explode("words").alias("word"))
-        n = at.join(dic, "word").groupBy("doc_id").agg(F.sum("k").cast("bigint").alias("n"))
-    else:
-        path = next(p for p in sorted(Path(folder).glob(f"{name}.*")) if p.suffix in (".json", ".model"))
-        n = documents.select("doc_id", "text").filter("text <> ''").mapInArrow(_other_counts(str(path)), "doc_id bigint, n bigint")
+    words = pretokens(documents, name, folder)
+    dic = stage(dictionary(words.select(F.explode("words").alias("word")), name, folder), "words")
+    dic = _sized(dic).select("word", F.size("ids").alias("k"))
+    at = pretokens(_spread(documents), name, folder).select("doc_id", F.explode_outer("words").alias("word"))
+    n = at.join(dic, "word", "left").groupBy("doc_id").agg(F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("n"))
     none = documents.filter("text IS NULL OR text = ''").select("doc_id", F.lit(0).cast("bigint").alias("n"))
     return n.unionByName(none)
-
