@@ -45,17 +45,28 @@ RARITY = ["rarity", "rare", "rare_spread"]
 GRADED = ["grade", "g1", "g2", "g3", "g4", "top1", "top2", "top3", "top4", "known"]
 
 
-def _cut(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Lower-case words of a text, and by sentence their number and that of commas, semicolons and colons."""
-    words: list[str] = []
-    sizes, marks = [], []
+def sentences(text: str) -> tuple[str, list[int]]:
+    """Lower-case words of a text, a line a sentence with blanks between them, and by sentence the number of commas,
+    semicolons and colons.
+    """
+    lines, marks = [], []
     for s in _ENDS.split(text.lower()):
         w = _WORDS.findall(s)
         if w:
-            words += w
-            sizes.append(len(w))
+            lines.append(" ".join(w))
             marks.append(s.count(",") + s.count(";") + s.count(":"))
-    return words, sizes, marks
+    return "\n".join(lines), marks
+
+
+def _split(cut: str) -> tuple[list[str], list[int]]:
+    """Words of a text cut by :func:`sentences`, and their number by sentence."""
+    words: list[str] = []
+    sizes = []
+    for line in cut.split("\n") if cut else []:
+        w = line.split(" ")
+        words += w
+        sizes.append(len(w))
+    return words, sizes
 
 
 def _types(words: list[str]) -> tuple[list[str], np.ndarray]:
@@ -65,9 +76,9 @@ def _types(words: list[str]) -> tuple[list[str], np.ndarray]:
     return list(seen), at
 
 
-def style(text: str, lang: str | None) -> tuple[list[float], list[str]]:
-    """Style features of a text and its distinct lower-case words; all zero for a text without words."""
-    words, sizes, marks = _cut(text)
+def style(cut: str, marks: list[int], lang: str | None) -> tuple[list[float], list[str]]:
+    """Style features of a text cut by :func:`sentences`, and its distinct words; all zero for a text without words."""
+    words, sizes = _split(cut)
     if not words:
         return [0.0] * len(STYLE), []
     conn = _CONN.get(lang or "", _EVERY)
@@ -97,13 +108,13 @@ def unit_sizes(sizes: list[int]) -> list[int]:
     return out
 
 
-def graded(text: str, table: tuple[dict[str, int], np.ndarray] | None) -> list[float]:
+def graded(cut: str, table: tuple[dict[str, int], np.ndarray] | None) -> list[float]:
     """Profile of a text in a graded vocabulary: mean band, mean and majority share of each band over its units.
 
     ``table`` holds the place of each word and, by place, the log-odds of the four bands.
     """
     places, odds = table or ({}, np.zeros((1, 4)))
-    words, sizes, _ = _cut(text)
+    words, sizes = _split(cut)
     types, at = _types(words)
     place = np.fromiter((places.get(w, -1) for w in types), np.int64, len(types))[at]
     known = place >= 0
@@ -125,22 +136,23 @@ def graded(text: str, table: tuple[dict[str, int], np.ndarray] | None) -> list[f
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, parents, langs = (b.column(c).to_pylist() for c in ("text", "parent_text", "lang"))
-        own = [own_text(t, p) for t, p in zip(texts, parents)]
-        made = [style(o, g) for o, g in zip(own, langs)]
+        cut = [sentences(own_text(t, p)) for t, p in zip(texts, parents)]
+        made = [style(*c, g) for c, g in zip(cut, langs)]
         yield pa.record_batch(
-            [b.column("doc_id"), b.column("lang"), b.column("n_chars"), pa.array(own, pa.string()), pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.list_(pa.string()))],
+            [b.column("doc_id"), b.column("lang"), b.column("n_chars"), pa.array([c[0] for c in cut], pa.string()), pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.list_(pa.string()))],
             names=["doc_id", "lang", "n_chars", "own", "style", "types"],
         )
 
 
 def own_words(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_chars, own, style, types) of every document.
+    """(doc_id, lang, n_chars, own, style, types) of every document of one of LANGS; own has its words by sentence.
 
     Only posts that open with a quote lacking an end need their parent's text; they alone are joined with it.
     """
     docs = documents.select("doc_id", "parent_id", "lang", "n_chars", "text")
     loose = F.coalesce(F.col("text").rlike(r'^\s*\[quote="[^"\]]*"\]\r?\n'), F.lit(False))
     parents = docs.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"))
+    docs = docs.filter(F.col("lang").isin(*LANGS))  # other languages have neither bands nor a share in any frequency used
     need = docs.filter(loose)
     wanted = need.select("parent_id").distinct()
     need = need.join(parents.join(wanted, "parent_id", "left_semi"), "parent_id", "left").select("doc_id", "lang", "n_chars", "text", "parent_text")

@@ -150,7 +150,8 @@ def test_own_text_after_a_quote_without_end():
 @given(st.text("[]<>/quoteblkc=\"ab |>\n`-_&;.", max_size=120))
 def test_own_text_never_fails(text):
     own_text(text, text[3:])
-    reading.style(own_text(text), "en")
+    cut, marks = reading.sentences(own_text(text))
+    assert len(reading.style(cut, marks, "en")[0]) == len(reading.STYLE) and len(reading.graded(cut, None)) == len(reading.GRADED)
 
 
 def test_ordinal_regression():
