@@ -132,16 +132,19 @@ def compaction_plan(vertices: DataFrame, index: DataFrame, target_bytes: int = T
     """
     files = staging.stage(plan_groups(frozen_manifest(vertices, index), target_bytes).filter("n_rows > 0"), "files")
     loose = staging.stage(loose_plan(vertices, files, target_bytes), "loose")
-    first = vertices.filter("vid IS NOT NULL").groupBy("vid").agg(F.min(F.struct(_file().alias("f"), "dataset_id", "level", "x", "y", "z")).alias("m"))
-    kept = first.select("vid", "m.*").unionByName(vertices.filter("vid IS NULL").select("vid", _file().alias("f"), "dataset_id", "level", "x", "y", "z"))
-    keep = kept.filter(F.col("f") != NO_FILE).groupBy(F.col("f").alias("file_id")).agg(F.count("*").alias("keep_rows"))
+    none = vertices.filter("vid IS NULL")
+    keep = vertices.filter("vid IS NOT NULL").groupBy("vid").agg(F.min("file_id").alias("file_id")).select("file_id").unionByName(none.select("file_id"))
+    keep = keep.filter("file_id IS NOT NULL").groupBy("file_id").agg(F.count("*").alias("keep_rows"))
     out = files.join(keep, "file_id", "left").withColumn("keep_rows", F.coalesce("keep_rows", F.lit(0).cast("bigint")))
     out = out.select("file_id", "dataset_id", "level", "group_no", "n_rows", "keep_rows", "bytes")
     if loose.isEmpty():
         return out
+    where = F.struct("dataset_id", "level", "x", "y", "z")
+    only = vertices.filter("vid IS NOT NULL").groupBy("vid").agg(F.min("file_id").alias("f"), F.min(where).alias("m")).filter("f IS NULL").select("vid", "m.*")
+    only = only.unionByName(none.filter("file_id IS NULL").select(*only.columns))
     place = ["dataset_id", "level", "group_no"]
     held = _with_loose_group(vertices.filter("file_id IS NULL"), loose).groupBy(*place).agg(F.count("*").alias("n_rows"))
-    mine = _with_loose_group(kept.filter(F.col("f") == NO_FILE), loose).groupBy(*place).agg(F.count("*").alias("keep_rows"))
+    mine = _with_loose_group(only, loose).groupBy(*place).agg(F.count("*").alias("keep_rows"))
     rows = coarsen.match(held, mine, place, "left").select(
         F.lit(None).cast("bigint").alias("file_id"), *place, "n_rows", F.coalesce("keep_rows", F.lit(0).cast("bigint")).alias("keep_rows"), (F.col("n_rows") * BYTES_PER_ROW).alias("bytes")
     )
