@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.grid import cell
-from orrery.operators import blocks
+from orrery.operators import blocks, hierarchy
+from orrery.plans.staging import stage
 
 
 def edge_cells(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -61,38 +61,47 @@ def cluster_faces(faces: DataFrame, meta: DataFrame) -> DataFrame:
     return f.filter(F.size("corners") == F.col("d")).groupBy("corners").agg(F.min("face_id").alias("face_id"))
 
 
+def _segments(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains between forks of nodes(node, parent, n, size): the segments, of the same columns, and (node, segment).
+
+    A node with two or more children ends a segment, and the segments of its children begin below it; a segment is named
+    by its top node, and its parent is the segment that the fork above ends.
+    """
+    kids = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("k")).agg(F.count("*").alias("kids"))
+    up = nodes.join(kids, F.col("parent") == F.col("k"), "left").withColumn("above", F.when(F.coalesce("kids", F.lit(0)) >= 2, F.lit(None)).otherwise(F.col("parent")))
+    of = stage(hierarchy.resolve(hierarchy.build(up.select("node", F.col("above").alias("parent")))).select("node", F.col("root").alias("segment")), "segments")
+    at = nodes.join(of, "node")
+    size = at.groupBy("segment").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    top = at.filter("node = segment").select("segment", "parent").join(of.toDF("parent", "above"), "parent", "left").select("segment", F.col("above").alias("parent"))
+    return stage(size.join(top, "segment").select(F.col("segment").alias("node"), "parent", "n", "size"), "segment-tree"), of
+
+
 def prune(trees: DataFrame, min_vertices: int, min_length: float = 0.0) -> DataFrame:
     """Nodes left after terminal branches shorter than ``min_vertices`` or ``min_length`` are removed, repeatedly.
 
-    trees(tree, node, parent, x, y, z).  Each pass decides on the state at its start, so the result does not depend on
-    the order of branches; a whole tree without a fork stays.  A grouped map: one tree must fit a task.
+    trees(tree, node, parent, x, y, z); a parent that is no node makes a root.  Each pass decides on the state at its
+    start, so the result does not depend on the order of branches; a whole tree without a fork stays.  Chains are
+    contracted to segments first, and later passes work on segments only, all by joins: no task holds a tree.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos = {n: (a, b, c) for n, a, b, c in zip(pdf["node"], pdf["x"], pdf["y"], pdf["z"])}
-        up = {n: (int(p) if pd.notna(p) and int(p) in pos else None) for n, p in zip(pdf["node"], pdf["parent"])}
-        alive = set(up)
-        while True:
-            kids: dict = {}
-            for n in alive:
-                if up[n] is not None:
-                    kids[up[n]] = kids.get(up[n], 0) + 1
-            gone = set()
-            for leaf in (n for n in alive if not kids.get(n)):
-                branch, n, size = [], leaf, 0.0
-                while n is not None and kids.get(n, 0) < 2:
-                    branch.append(n)
-                    if up[n] is not None:
-                        size += sum((u - v) ** 2 for u, v in zip(pos[n], pos[up[n]])) ** 0.5
-                    n = up[n]
-                if n is not None and (len(branch) < min_vertices or size < min_length):
-                    gone.update(branch)
-            if not gone:
-                break
-            alive -= gone
-        return pd.DataFrame({"tree": pdf["tree"].iloc[0], "node": sorted(alive)}).astype({"tree": "int64", "node": "int64"})
-
-    return trees.groupBy("tree").applyInPandas(run, "tree bigint, node bigint")
+    pos = trees.select(F.col("node").alias("_p"), *[F.col(a).alias(f"_{a}") for a in "xyz"])
+    d2 = sum((F.pow(F.col(a) - F.col(f"_{a}"), 2) for a in "xyz"), F.lit(0.0))
+    step = F.coalesce(F.sqrt(d2), F.lit(0.0))
+    level = stage(trees.join(pos, F.col("parent") == F.col("_p"), "left").select("node", F.col("_p").alias("parent"), F.lit(1).cast("bigint").alias("n"), step.alias("size")), "tree-nodes")
+    gone: list[tuple[DataFrame, DataFrame]] = []
+    while True:
+        segments, of = _segments(level)
+        ends = segments.join(segments.select(F.col("parent").alias("node")).distinct(), "node", "left_anti").filter("parent IS NOT NULL")
+        short = stage(ends.filter((F.col("n") < min_vertices) | (F.col("size") < min_length)).select("node"), "short-branches")
+        if short.isEmpty():
+            break
+        gone.append((of, short))
+        level = stage(segments.join(short, "node", "left_anti"), "tree-nodes")
+    lost = None
+    for of, short in reversed(gone):  # what a pass removed, as segments of the pass before, down to the nodes
+        these = short if lost is None else short.unionByName(lost)
+        lost = of.join(these.withColumnRenamed("node", "segment"), "segment", "left_semi").select("node")
+    out = trees.select("tree", "node")
+    return out if lost is None else out.join(lost, "node", "left_anti").select("tree", "node")
 
 
 def cluster_bin(n_vertices: int, n_faces: int, extents: list[float], target_faces: int | None = None, target_ratio: float | None = None) -> float:

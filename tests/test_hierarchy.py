@@ -124,6 +124,30 @@ def test_preorder_and_prune(spark):
     assert [r[1] for r in rows(graphs.prune(t, 2))] == [1, 5, 6, 7, 8]  # 3 and 4 go, then 2, a branch of one vertex
 
 
+@pytest.mark.parametrize("least,length", [(3, 0.0), (2, 6.0), (6, 0.0)])
+def test_prune_against_brute_force(spark, least, length):
+    r = random.Random(least)
+    up = {i: (None if i == 0 else max(0, i - r.choice([1, 1, 1, 2, 9]))) for i in range(120)} | {1000 + i: (None if i == 0 else 999 + i) for i in range(5)}
+    pos = {n: (r.uniform(0, 4), r.uniform(0, 4), 0.0) for n in up}
+    alive = set(up)
+    while True:
+        kids = {n: sum(up[m] == n for m in alive) for n in alive}
+        out = set()
+        for leaf in (n for n in alive if not kids[n]):
+            branch, n, size = [], leaf, 0.0
+            while n is not None and kids[n] < 2:
+                branch.append(n)
+                size += 0.0 if up[n] is None else sum((a - b) ** 2 for a, b in zip(pos[n], pos[up[n]])) ** 0.5
+                n = up[n]
+            if n is not None and (len(branch) < least or size < length):
+                out |= set(branch)
+        if not out:
+            break
+        alive -= out
+    t = spark.createDataFrame([(int(n >= 1000), n, p, *pos[n]) for n, p in up.items()], "tree bigint, node bigint, parent bigint, x double, y double, z double")
+    assert sorted(x[1] for x in rows(graphs.prune(t, least, length))) == sorted(alive)
+
+
 def test_a_deep_chain_leaves_in_bounded_batches():
     n = 20_000
     up = np.arange(-1, n - 1)
