@@ -211,12 +211,33 @@ def _send(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 class _Block:
-    """The vectors of a block: candidates of queries from one leaf, by distances in float32 around the block's centre."""
+    """The vectors of a block: candidates of queries from leaves, by distances in float32 around the block's centre.
 
-    def __init__(self, x: np.ndarray, take: int, leaf_rows: int, local_probes: int):
-        self.x, self.take, self.leaf_rows, self.local_probes = x, take, leaf_rows, local_probes
+    Where more candidates than are kept lie at the k-th distance within the error of float32, the row is decided by
+    exact distances and vids, so ties never depend on the order of rows.
+    """
+
+    def __init__(self, x: np.ndarray, vid: np.ndarray, k: int, leaf_rows: int, local_probes: int):
+        self.x, self.vid, self.k, self.take, self.leaf_rows, self.local_probes = x, vid, k, k + SLACK, leaf_rows, local_probes
         self.a = (x - x.mean(0)).astype(np.float32)
         self.aa = (self.a * self.a).sum(1)
+        self.error = 4e-6 * (float(self.aa.max()) + self.aa)
+
+    def least(self, row: np.ndarray, dist: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``take`` candidates of each query that may be among its k nearest."""
+        if dist.shape[1] <= self.take:
+            return row, dist
+        c = np.argpartition(dist, self.take - 1, axis=1)[:, : self.take]
+        best = np.take_along_axis(dist, c, 1)
+        edge = np.partition(best, self.k - 1, axis=1)[:, self.k - 1] + self.error[queries]
+        out, kept = np.take_along_axis(row, c, 1), best
+        for i in np.flatnonzero(np.isfinite(edge) & (best.max(1) <= edge)):
+            near = np.flatnonzero(dist[i] <= edge[i])
+            r = row[i, near]
+            exact = ((self.x[r].astype(np.float64) - self.x[queries[i]].astype(np.float64)) ** 2).sum(1)
+            o = np.lexsort((self.vid[r], exact))[: self.take]
+            out[i], kept[i] = r[o], dist[i, near[o]]
+        return out, kept
 
     def nearest(self, members: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(queries, take): rows of the nearest members and their distances; -1 and inf where there are too few."""
@@ -232,7 +253,7 @@ class _Block:
         for f in np.unique(leaf):
             q = np.flatnonzero((leaf == f).any(1))
             r, d = self._dense(members[order[ends[f] : ends[f + 1]]], queries[q])
-            row[q], dist[q] = _least(np.concatenate([row[q], r], 1), np.concatenate([dist[q], d], 1), self.take)
+            row[q], dist[q] = self.least(np.concatenate([row[q], r], 1), np.concatenate([dist[q], d], 1), queries[q])
         return row, dist
 
     def _dense(self, members: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,23 +261,14 @@ class _Block:
         for lo in range(0, len(members), 2048):
             m = members[lo : lo + 2048]
             near = self.aa[m][None, :] - 2 * (self.a[queries] @ self.a[m].T)
-            n = min(self.take, len(m))
-            c = np.argpartition(near, n - 1, axis=1)[:, :n]
-            r, d = m[c], np.take_along_axis(near, c, 1)
+            r, d = self.least(np.broadcast_to(m, near.shape), near, queries)
             if lo == 0:
-                row[:, :n], dist[:, :n] = r, d
+                row[:, : r.shape[1]], dist[:, : r.shape[1]] = r, d
             else:
-                row, dist = _least(np.concatenate([row, r], 1), np.concatenate([dist, d], 1), self.take)
+                row, dist = self.least(np.concatenate([row, r], 1), np.concatenate([dist, d], 1), queries)
         return row, dist
 
 
-def _least(row: np.ndarray, dist: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
-    if dist.shape[1] > take:
-        c = np.argpartition(dist, take - 1, axis=1)[:, :take]
-        row, dist = np.take_along_axis(row, c, 1), np.take_along_axis(dist, c, 1)
-    return row, dist
-
-
 def _block_search(k: int, leaf_rows: int):
     """applyInArrow on a block: every query's best members among the leaves that it visits there."""
 
@@ -269,7 +281,7 @@ def _block_search(k: int, leaf_rows: int):
         members = np.flatnonzero(own >= 0)
         members = members[np.argsort(own[members], kind="stable")]
         held = own[members]
-        block = _Block(x, k + SLACK, leaf_rows, t.column("local_probes")[0].as_py())
+        block = _Block(x, vid, k, leaf_rows, t.column("local_probes")[0].as_py())
         ask = np.flatnonzero(count)
         ask = ask[np.argsort(count[ask], kind="stable")]  # queries of like number of leaves go together
         out: list = [[], [], [], []]
@@ -287,7 +299,7 @@ def _block_search(k: int, leaf_rows: int):
                 f = at[part[0]]
                 m = members[np.searchsorted(held, f) : np.searchsorted(held, f, "right")]
                 row[who[part], slot[part]], dist[who[part], slot[part]] = block.nearest(m, q[who[part]])
-            r, d = _least(row.reshape(len(q), -1), dist.reshape(len(q), -1), block.take)
+            r, d = block.least(row.reshape(len(q), -1), dist.reshape(len(q), -1), q)
             exact = ((x[r].astype(np.float64) - x[q][:, None, :].astype(np.float64)) ** 2).sum(2)
             exact[r < 0] = np.inf
             ids = np.where(r < 0, np.iinfo(np.int64).max, vid[r])

@@ -31,6 +31,22 @@ def test_knn_of_few_is_exact(spark):
     assert rows(neighbours.knn(v.limit(0), meta)) == []
 
 
+def test_ties_do_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (400, 4)).astype(np.float32)
+    vid = rng.permutation(1000)[:400]
+    for _ in range(3):
+        o = rng.permutation(400)
+        t = pa.table({
+            "dataset_id": pa.array([1] * 400, pa.int32()), "local_probes": pa.array([4] * 400, pa.int32()), "vid": pa.array(vid[o]), "pos": neighbours._binary(x[o]),
+            "own": pa.array((vid[o] % 3).astype(np.int32)), "probes": pa.array([[0, 1, 2]] * 400, pa.list_(pa.int32())),
+        })
+        got = {r["vid"]: r["nbr"] for r in neighbours._block_search(6, 128)(t).to_pylist()}
+        for i, v in enumerate(vid):
+            d = ((x.astype(float) - x[i]) ** 2).sum(1)
+            assert got[v] == vid[np.lexsort((vid, d))[:6]].tolist()
+
+
 @pytest.mark.parametrize("sample", [65536, 300])  # with the second the leaves outgrow the sample and are split in their tasks
 def test_recall(spark, sample):
     rng = np.random.default_rng(2)
