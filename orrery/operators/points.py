@@ -56,14 +56,20 @@ def box_cells(boxes: DataFrame, sizes: Sequence[str], lo: str = "lo", hi: str =
 def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Points in each of many closed boxes: an equi-join on the cells that a box meets, then the exact test.
 
-    ``boxes`` has box_id, dataset_id, lo, hi and the dataset's chunk_shape (three entries).
+    ``boxes`` has box_id, dataset_id, lo, hi and the dataset's chunk_shape (three entries).  A box is cut into cells of
+    the grid that its extent asks for (the base cells, or those of 2**g times their edge), so it opens out to 125 rows at
+    most however large it is; a point is looked up once in each grid that a box of its dataset uses.
     """
-    b = boxes.withColumns({f"s{i}": F.get("chunk_shape", F.lit(i)) for i in range(3)})
-    b = box_cells(b, ["s0", "s1", "s2"]).select("box_id", "dataset_id", "cx", "cy", "cz", "lo", "hi")
+    span = F.greatest(*[(F.get("hi", F.lit(i)) - F.get("lo", F.lit(i))) / F.get("chunk_shape", F.lit(i)) for i in range(3)])
+    g = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(span, F.lit(1.0)) / 4))).cast("int")
+    b = boxes.withColumn("g", g).withColumns({f"s{i}": F.get("chunk_shape", F.lit(i)) * F.pow(F.lit(2.0), F.col("g")) for i in range(3)})
+    grids = b.select("dataset_id", "g").distinct()
+    b = box_cells(b, ["s0", "s1", "s2"]).select("box_id", "dataset_id", "g", *[F.col(f"c{a}").alias(f"_{a}") for a in "xyz"], "lo", "hi")
+    p = points.join(grids, "dataset_id").withColumns({f"_{a}": F.floor(F.col(f"c{a}") / F.pow(F.lit(2.0), F.col("g"))).cast("bigint") for a in "xyz"})
     inside = F.lit(True)
     for i, a in enumerate("xyz"):
         inside = inside & F.col(a).between(F.get("lo", F.lit(i)), F.get("hi", F.lit(i)))
-    return points.join(b, ["dataset_id", "cx", "cy", "cz"]).filter(inside).drop("lo", "hi")
+    return p.join(b, ["dataset_id", "g", "_x", "_y", "_z"]).filter(inside).drop("lo", "hi", "g", "_x", "_y", "_z")
 
 
 def neighbours(cells: DataFrame, halo: int = 1, include_self: bool = False, axes: str = "xyz") -> DataFrame:

@@ -32,6 +32,18 @@ def test_fragments_and_bins(spark):
     assert tuple(got) == (-1, 1, 13)
 
 
+def test_boxes_of_any_size(spark):
+    rng = np.random.default_rng(0)
+    p = rng.uniform(-500, 500, (300, 3))
+    pts = spark.createDataFrame([(1, i, *map(float, q), *(int(v) for v in np.floor(q / 10))) for i, q in enumerate(p)], "dataset_id int, vid bigint, x double, y double, z double, cx bigint, cy bigint, cz bigint")
+    lo = [[-500.0] * 3, [-3.0, 0.0, -250.0], [20.0] * 3, list(map(float, p[7]))]
+    hi = [[500.0] * 3, [-3.0, 400.0, 9.5], [10.0] * 3, list(map(float, p[7]))]
+    b = spark.createDataFrame([(k, 1, a, c, [10.0] * 3) for k, (a, c) in enumerate(zip(lo, hi)) if a <= c], "box_id int, dataset_id int, lo array<double>, hi array<double>, chunk_shape array<double>")
+    want = {(k, i) for k, (a, c) in enumerate(zip(lo, hi)) for i, q in enumerate(p) if (q >= a).all() and (q <= c).all()}
+    got = points.in_boxes(pts, b).select("box_id", "vid").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) >= 301
+
+
 def test_neighbours(spark):
     c = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 0, 0), (1, 5, 0, 0), (2, 0, 0, 1)], "dataset_id int, cx bigint, cy bigint, cz bigint")
     assert points.neighbours(c.limit(1)).count() == 26 and points.neighbours(c.limit(1), 2, True).count() == 125
