@@ -67,7 +67,7 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     """As p4_nodes, with partitions so small that forests are merged over several levels at any size."""
-    parts = [hierarchy.nodes(hierarchy.build(links, paths=True, rows=1024, merged=1024)).withColumn("source", F.lit(name)) for name, links in _links(spark, d).items()]
+    parts = [hierarchy.nodes(hierarchy.build(links, paths=True, rows=2048, merged=1 << 17)).withColumn("source", F.lit(name)) for name, links in _links(spark, d).items()]
     return parts[0].unionByName(parts[1]).withColumn("path", F.when(F.col("path").isNotNull(), F.concat_ws("/", F.col("path").cast("array<string>"))))
 
 
