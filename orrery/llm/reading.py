@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.owntext import own_text
-from orrery.plans.sizing import tasks_for
+from orrery.plans.sizing import BROADCAST_BYTES, measured_bytes, tasks_for
 from orrery.plans.staging import stage
 
 LANGS = ("en", "de", "fr", "es")
 MAX_LABELLED = 6000
 FOLDS = 5
 SCALED = 40  #: labels from which a language has a scale of its own
-DICTIONARY_ROWS = 1_000_000  #: a frequency table above this is joined by a shuffle instead of a broadcast
 UNIT = 12  #: words of a unit whose vocabulary is graded, where sentences are longer or have no end
 
 #: connectives and subordinators per language: our own choice of common ones, no part of any format
@@ -168,7 +167,7 @@ def rarity(own: DataFrame, eligible: DataFrame) -> DataFrame:
     df = stage(words.groupBy("lang", "word").agg(F.count("*").alias("df")), "frequencies")
     total = own.groupBy("lang").agg(F.count("*").alias("docs"))  # one row a language
     scaled = df.join(F.broadcast(total), "lang").select("lang", "word", (-F.log(F.col("df") / F.col("docs"))).alias("r"))
-    if df.count() <= DICTIONARY_ROWS:
+    if measured_bytes(df) <= BROADCAST_BYTES:
         scaled = F.broadcast(scaled)
     at = eligible.select("doc_id", "lang", F.explode("types").alias("word")).join(scaled, ["lang", "word"])
     return at.groupBy("doc_id").agg(F.array(F.avg("r"), F.avg((F.col("r") > 4).cast("double")), F.coalesce(F.stddev_pop("r"), F.lit(0.0))).alias("rare"))
