@@ -118,7 +118,8 @@ class GeometryStore:
         folder = f"v=w{uuid.uuid4().hex[:12]}"
         w = df
         if cluster and name == "vertices":
-            w = df.repartition("level", "cx", "cy", "cz").sortWithinPartitions("level", "cx", "cy", "cz", "oid", "seq")
+            by = ["level", "cx", "cy", "cz"]  # a rebalanced partition that holds a hot cell is split
+            w = df.hint("rebalance", *by).sortWithinPartitions(*by, "oid", "seq")
         w = w.write.mode("errorifexists").option("compression", "zstd")
         (w.partitionBy("level") if "level" in df.columns else w).parquet(f"{self.path}/{name}/{folder}")
         return folder
