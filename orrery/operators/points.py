@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from orrery.functions.grid import chunk_key, in_box, in_box_cells, with_cells
 from orrery.operators import blocks
+from orrery.plans.sizing import tasks_of
 from orrery.plans.staging import stage
 
 CELL = ["dataset_id", "level", "cx", "cy", "cz"]
 SLOTS = 1 << 16  #: object slots that one row opens out to
+TASK_SLOTS = 1 << 20  #: object slots of a task
 
 
 def live(vertices: DataFrame) -> DataFrame:
@@ -149,15 +151,29 @@ def manifest(points: DataFrame) -> DataFrame:
 
 
 def dense_slots(objects: DataFrame) -> DataFrame:
-    """One slot per oid from the dataset's least to its greatest; gaps have present = false and no fragments."""
-    have = objects.filter("oid IS NOT NULL AND level = 0").groupBy("dataset_id", "oid").agg(F.max(F.coalesce(F.size("manifest"), F.lit(0))).alias("n"))
+    """One slot per oid from the dataset's least to its greatest; gaps have present = false and no fragments.
+
+    Oids may lie far apart, so there can be many more slots than objects.  Only objects and blocks of SLOTS slots are
+    shuffled, into tasks that follow the measured number of slots; a block opens out where it is returned, each object with
+    the gap behind it.
+    """
+    o = objects.filter("oid IS NOT NULL AND level = 0")
     block = lambda c: F.floor(F.col(c) / F.lit(SLOTS)).cast("bigint")
-    span = have.groupBy("dataset_id").agg(F.min("oid").alias("lo"), F.max("oid").alias("hi"))
-    b = span.select("dataset_id", "lo", "hi", F.explode(F.sequence(block("lo"), block("hi"))).alias("b"))
-    ends = F.sequence(F.greatest("lo", F.col("b") * SLOTS), F.least("hi", F.col("b") * SLOTS + (SLOTS - 1)))
-    slots = b.repartition("dataset_id", "b").select("dataset_id", F.explode(ends).alias("oid"))
-    out = slots.join(have, ["dataset_id", "oid"], "left")
-    return out.select("dataset_id", "oid", F.col("n").isNotNull().alias("present"), F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("n_fragments"))
+    span = o.groupBy("dataset_id").agg(F.min("oid").alias("lo"), F.max("oid").alias("hi"))
+    total = span.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
+    have = o.groupBy("dataset_id", "oid").agg(F.max(F.coalesce(F.size("manifest"), F.lit(0))).alias("n"))
+    mine = have.select("dataset_id", block("oid").alias("b"), F.struct("oid", F.col("n").cast("int").alias("n")).alias("at"))
+    every = span.select("dataset_id", "lo", "hi", F.explode(F.sequence(block("lo"), block("hi"))).alias("b"))
+    rows = every.unionByName(mine, allowMissingColumns=True).repartition(tasks_of(o.sparkSession, total, TASK_SLOTS), "dataset_id", "b")
+    g = rows.groupBy("dataset_id", "b").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list("at")).alias("at"))
+    g = g.select("dataset_id", "at", F.greatest("lo", F.col("b") * SLOTS).alias("lo"), F.least("hi", F.col("b") * SLOTS + (SLOTS - 1)).alias("hi"))
+    end = lambda i: F.coalesce(F.get(F.col("at"), i)["oid"] - 1, F.col("hi"))
+    first = F.array(F.struct(F.col("lo").alias("f"), end(F.lit(0)).alias("t"), F.lit(None).cast("int").alias("n")))
+    runs = F.concat(first, F.transform("at", lambda a, i: F.struct(a["oid"].alias("f"), end(i + 1).alias("t"), a["n"].alias("n"))))
+    r = g.select("dataset_id", F.inline(runs)).filter("t >= f")  # a block that begins with an object has no gap before it
+    out = r.select("dataset_id", "f", "n", F.explode(F.sequence("f", "t")).alias("oid"))
+    present = (F.col("oid") == F.col("f")) & F.col("n").isNotNull()
+    return out.select("dataset_id", "oid", present.alias("present"), F.when(present, F.greatest("n", F.lit(0))).otherwise(F.lit(0)).alias("n_fragments"))
 
 
 def attribute_bins(df: DataFrame, value: str) -> DataFrame:

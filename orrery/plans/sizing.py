@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST = 100_000
@@ -18,6 +18,11 @@ def tasks_for(df: DataFrame, bytes_per_task: int = 2 << 20) -> int:
     return least if size > UNKNOWN else min(MOST, max(least, -(-size // bytes_per_task)))
 
 
+def tasks_of(spark: SparkSession, n: int, per_task: int) -> int:
+    """Tasks for ``n`` things, ``per_task`` in each, no fewer than the session's setting."""
+    return min(MOST, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_task)))
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of a staged table in memory, measured by one pass: strings and lists by their lengths, other columns by width."""
     fixed, parts = 16, []
