@@ -476,7 +476,7 @@ _MESH = """grid AS (SELECT p_partkey AS id, p_partkey % 50 AS x, CAST(floor(p_pa
 def _mesh(spark, d):
     p = table(spark, d, "part")
     nodes = p.select(F.col("p_partkey").cast("bigint").alias("id"), F.pmod("p_partkey", F.lit(50)).cast("bigint").alias("x"), F.floor(F.col("p_partkey") / 50).alias("y"), F.col("p_retailprice").alias("z"))
-    quad = nodes.filter("x < 49").join(nodes.select((F.col("id") - 51).alias("id")), "id", "left_semi").select("id")
+    quad = nodes.filter("x < 49").join(nodes.select((F.col("id") - 51).alias("id")).hint("merge"), "id", "left_semi").select("id")
     a = F.col("id")
     tri = lambda k, *v: F.struct((a * 2 + k).alias("face_id"), F.array(*v).alias("vids"))
     faces = quad.select(F.inline(F.array(tri(0, a, a + 1, a + 50), tri(1, a + 1, a + 51, a + 50))))

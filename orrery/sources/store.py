@@ -283,7 +283,8 @@ class GeometryStore:
 
     def _known(self, vids: DataFrame, level: int) -> None:
         have = self.table("vertices", staged=True).filter(F.col("level") == level).select("vid")
-        if not vids.filter("vid IS NOT NULL").join(have, "vid", "left_anti").isEmpty():
+        have = have.hint("merge")  # the files are far smaller than the ids in memory, which by their size would be broadcast
+        if not vids.filter("vid IS NOT NULL").distinct().join(have, "vid", "left_anti").isEmpty():
             raise StoreError(f"an end is no vertex of level {level}")
 
     def write_links(self, links: DataFrame, level: int = 0, delta: int = 0) -> None:
@@ -460,9 +461,9 @@ class GeometryStore:
         """Nodes that the filters select, with ``idx``, and the faces all of whose corners are among them, as ``corners``."""
         nodes = blocks.number(self.points(level, **filters), ["level"], "vid", "idx")
         f = self.table("faces").filter(F.col("level") == level).drop("level")
-        corner = f.select("face_id", F.size("vids").alias("width"), F.posexplode("vids").alias("pos", "vid")).join(nodes.select("vid", "idx"), "vid")
+        corner = f.select("face_id", F.size("vids").alias("width"), F.posexplode("vids").alias("pos", "vid")).hint("merge").join(nodes.select("vid", "idx"), "vid")  # as in _known
         whole = corner.groupBy("face_id", "width").agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("c")).filter("size(c) = width")
-        return nodes, f.join(whole.select("face_id", F.col("c.idx").alias("corners")), "face_id")
+        return nodes, f.hint("merge").join(whole.select("face_id", F.col("c.idx").alias("corners")), "face_id")
 
     def map_chunks(self, f: Any, out: str, level: int = 0, **filters: Any) -> DataFrame:
         """A user's function pandas -> pandas on each cell's vertices; a cell must fit a task."""

@@ -1,9 +1,12 @@
 """Plans that hold on large tables: no work that grows with the data in one task, in too many tasks, or on the driver."""
 
 from conftest import rows
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import points
+from orrery.plans import geometry
+from orrery.sources.store import GeometryStore
 
 _PLACE = "array<struct<chunk_key:string,fragment:bigint>>"
 
@@ -19,3 +22,18 @@ def test_slots_far_apart_are_not_shuffled(spark, monkeypatch):
     assert "Join" not in slots._jdf.queryExecution().optimizedPlan().toString()  # slots stay where they open out
     assert slots.rdd.getNumPartitions() >= 6  # 81 slots, 16 a task
     assert slots.filter("NOT present").groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_nodes_and_faces_of_a_mesh_are_not_broadcast(spark, tmp_path, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    tested, empty = [], DataFrame.isEmpty
+    monkeypatch.setattr(DataFrame, "isEmpty", lambda df: tested.append(plan(df)) or empty(df))
+    spark.range(2000).select(F.col("id").alias("p_partkey"), F.lit(1.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    nodes, faces = geometry._mesh(spark, str(tmp_path))
+    s = GeometryStore.create(spark, f"file://{tmp_path}/s", [10.0, 10.0], ([0.0] * 2, [50.0] * 2), axes=["x", "y"])
+    s.write_mesh(nodes.select(F.col("id").alias("vid"), F.col("x").cast("double"), F.col("y").cast("double")), faces)
+    s.commit()
+    out = s.read_mesh(bbox=([5, 3], [30, 25]))[1]
+    assert out.count() == 2 * 25 * 22 and len(tested) == 2
+    for p in [*tested, plan(out)]:
+        assert not [j for j in p.splitlines() if "BroadcastHashJoin" in j and ("vid#" in j or "face_id#" in j or " [id#" in j)]
