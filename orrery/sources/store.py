@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from orrery import schema
 from orrery.functions.grid import cell, in_box, in_box_cells, linear_fragment, morton
 from orrery.operators import blocks, coarsen, parametric, polylines, rechunk, select
-from orrery.plans.sizing import tasks_for
+from orrery.plans.sizing import small, tasks_for
+from orrery.plans.staging import stage
 from orrery.schema import Level, Meta, StoreError, ratio
 
 TABLES = {
@@ -199,6 +200,17 @@ class GeometryStore:
         m.bounds_max = [max(b, r[2 * i + 1]) if r[2 * i + 1] is not None else b for i, b in enumerate(m.bounds_max)]
         return rows
 
+    def _stage_once(self, rows: DataFrame, policy: str, allowed: Sequence[str]) -> DataFrame:
+        """Stage vertices under an out-of-bounds policy and read them back, so that the plan behind them runs once."""
+        kept = rows if policy == "expand" else self._bounded(rows, policy, allowed)
+        gridded = self.with_grid(kept)
+        folder = self._write("vertices", gridded)
+        self._staged.setdefault("vertices", []).append(folder)
+        written = self.spark.read.schema(gridded.schema).parquet(f"{self.path}/vertices/{folder}")
+        if policy == "expand":
+            self._bounded(written, policy, allowed)
+        return written
+
     def _typed(self, geometry: str) -> None:
         if geometry not in schema.GEOMETRY_TYPES:
             raise StoreError(geometry)
@@ -239,8 +251,8 @@ class GeometryStore:
         self._typed(geometry)
         whole = F.col("oid").isNotNull() & F.col("seq").isNotNull()
         rows = points.filter(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("a vertex without object or place")).cast("boolean")))
-        self.stage("vertices", self.with_grid(self._bounded(rows, out_of_bounds, ("raise", "expand"))))
-        self._objects(points.select("oid").distinct() if objects is None else objects)
+        written = self._stage_once(rows, out_of_bounds, ("raise", "expand"))
+        self._objects(written.select("oid").distinct() if objects is None else objects)
         if groups is not None:
             self.write_groups(groups, group_attributes)
 
@@ -616,11 +628,12 @@ class GeometryStore:
         if value is not None:
             o = o.join(self.table("objects").filter("level = 0").select("oid", value), "oid", "left")
         groups = self.table("groups").withColumn("dataset_id", F.lit(0)) if self.versions.get("groups") else None
-        o = rechunk.map_objects(o, kind, groups, value, edges).select("oid", "prefix")
+        o = small(stage(rechunk.map_objects(o, kind, groups, value, edges).select("oid", "prefix"), "prefixes"))
+        tasks = tasks_for(v, 64 << 20)  # of the files: the estimate of a join is the product of its sides
         v = v.join(o, "oid", "left").withColumn("prefix", F.coalesce("prefix", F.lit(-1).cast("bigint")))
         cells = [f"c{a}" for a in self.meta.axes]
         order = ["level", "prefix", *cells, "vid"]
-        folder = new._write("vertices", v.repartitionByRange(tasks_for(v, 64 << 20), *order).sortWithinPartitions(*order), cluster=False)
+        folder = new._write("vertices", v.repartitionByRange(tasks, *order).sortWithinPartitions(*order), cluster=False)
         new._staged.setdefault("vertices", []).append(folder)
         for name in [n for n in self.versions if n != "vertices" and self.versions[n]]:
             new.stage(name, self.table(name))

@@ -37,3 +37,27 @@ def test_nodes_and_faces_of_a_mesh_are_not_broadcast(spark, tmp_path, monkeypatc
     assert out.count() == 2 * 25 * 22 and len(tested) == 2
     for p in [*tested, plan(out)]:
         assert not [j for j in p.splitlines() if "BroadcastHashJoin" in j and ("vid#" in j or "face_id#" in j or " [id#" in j)]
+
+
+def test_rechunk_takes_its_tasks_from_the_files(spark, tmp_path, monkeypatch):
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    p = spark.range(30000).select(F.col("id").alias("vid"), (F.col("id") % 300).alias("oid"), F.col("id").alias("seq"), *[F.rand(i).alias(a) for i, a in enumerate("xyz")])
+    s = GeometryStore.create(spark, f"file://{tmp_path}/s", [10.0] * 3, ([0.0] * 3, [0.5] * 3))
+    s.write_polylines(p.mapInArrow(seen, p.schema), "expand", groups=spark.range(6000).select((F.col("id") % 7).alias("gid"), (F.col("id") % 200).alias("oid")))
+    s.commit()
+    assert ran.value == 30000 and min(s.meta.bounds_max) > 0.9 and s.objects().count() == 300  # the plan behind the rows ran once
+    tasks, ranges = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda df, n, *cols: tasks.append(n) or ranges(df, min(n, 50), *cols))
+    new = s.rechunk(f"file://{tmp_path}/t", "group")
+    assert len(tasks) == 1 and tasks[0] <= 50
+    last = {o: max(i % 7 for i in range(6000) if i % 200 == o) for o in range(200)}
+    want = {}
+    for i in range(30000):
+        want[last.get(i % 300, -1)] = want.get(last.get(i % 300, -1), 0) + 1
+    assert rows(new.table("vertices").groupBy("prefix").count()) == sorted(want.items(), key=repr)
